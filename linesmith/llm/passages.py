@@ -8,12 +8,13 @@ both. The steps:
 1. hash the anchors at cover positions only, count them over the corpus (partial sums before the shuffle), keep those that
    occur twice or more;
 2. find the places of those anchors again (a semi join on the hash), and gather them by document;
-3. extend: only windows around such places can be repeated; they are hashed with 128 bits and counted exactly;
-4. the places of repeated windows come back to their document, whose other words are kept.
+3. extend: only windows around such places can be repeated; they are hashed with 128 bits and counted. The aggregation also
+   keeps the least place, which for a count of one is the window's own: so it names the windows that are not repeated;
+4. all other windows around the places are repeated; the words outside of them are kept.
 
-Nothing is paired: a passage in a third of all documents costs one row per document and window, and the joins have one row
-per hash on their other side, so that a hot hash can be split. Documents are recognised by a 64-bit key of id and text, so ids
-may be null or repeated; rows that repeat id and text count as different documents, as any two rows do.
+Nothing is paired, and no window of a hot passage is shuffled more than once per task: both counts have partial sums, and the
+semi join has one row per hash on its other side, so that a hot hash can be split. Documents are recognised by a 64-bit key of
+id and text, so ids may be null or repeated; rows that repeat id and text count as different documents, as any two rows do.
 
 Cases: a null or empty text has no words (0, 0 and the digest of the empty string); documents with fewer words than the window
 lose nothing; repeated rows lose all words if they have at least a window of them; an empty table gives an empty result.
@@ -72,20 +73,23 @@ def _lists(b: Block, name: str) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(b.n), sizes)
 
 
-def _extend(window: int):
-    """The windows that hold an anchor found twice: two hashes, key of the document, place."""
+def _around(b: Block, window: int) -> np.ndarray:
+    """The windows that hold an anchor found twice."""
+    place, doc = _lists(b, "ps")
+    real = place < b.count[doc] - (window - PERIOD)
+    place, doc = place[real], doc[real]
+    low = np.maximum(place - (PERIOD - 1), 0) + b.first[doc]
+    high = np.minimum(place, b.count[doc] - window) + b.first[doc]
+    fine = high >= low
+    step = np.zeros(len(b.start) + 1, np.int64)
+    np.add.at(step, low[fine], 1)
+    np.add.at(step, high[fine] + 1, -1)
+    return np.flatnonzero(np.cumsum(step[:-1]) > 0)
+
 
+def _extend(window: int):
     def run(b: Block) -> pa.RecordBatch:
-        place, doc = _lists(b, "ps")
-        real = place < b.count[doc] - (window - PERIOD)
-        place, doc = place[real], doc[real]
-        low = np.maximum(place - (PERIOD - 1), 0) + b.first[doc]
-        high = np.minimum(place, b.count[doc] - window) + b.first[doc]
-        fine = high >= low
-        step = np.zeros(len(b.start) + 1, np.int64)
-        np.add.at(step, low[fine], 1)
-        np.add.at(step, high[fine] + 1, -1)
-        at = np.flatnonzero(np.cumsum(step[:-1]) > 0)
+        at = _around(b, window)
         doc = np.searchsorted(b.first, at, "right") - 1
         h1, h2 = (window_hash(b.hash, at, window, w).view(np.int64) for w in (1, 2))
         return pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), b.column("k").take(pa.array(doc)), pa.array((at - b.first[doc]).astype(np.int32))], ["h1", "h2", "k", "p"])
@@ -95,9 +99,10 @@ def _extend(window: int):
 
 def _cut(window: int):
     def run(b: Block) -> pa.RecordBatch:
-        place, doc = _lists(b, "ps")
-        real = place + window <= b.count[doc]
-        gone = covered(place[real] + b.first[doc[real]], window, len(b.start))
+        alone, doc = _lists(b, "alone")
+        real = alone + window <= b.count[doc]
+        at = np.setdiff1d(_around(b, window), alone[real] + b.first[doc[real]], assume_unique=True)
+        gone = covered(at, window, len(b.start))
         removed = b.per_doc_words(gone)
         text, sha = [], []
         for i in range(b.n):
@@ -129,10 +134,9 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
     places = stored(places)
     free_shuffles(spark)
 
-    windows = rows.select("text", "k").join(places, "k").mapInArrow(per_block(_extend(window)), "h1 long, h2 long, k long, p int")
-    windows = stored(windows)
-    free_shuffles(spark)
-    again = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    gone = windows.join(again, ["h1", "h2"], "left_semi").groupBy("k").agg(F.collect_set("p").alias("ps"))
-    out = rows.join(gone, "k", "left")
+    # Both uses of the texts have the same columns and partitioning, so that Spark shuffles them once.
+    windows = rows.join(places, "k").select("doc_id", "text", "k", "ps").mapInArrow(per_block(_extend(window)), "h1 long, h2 long, k long, p int")
+    counts = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("k"), F.min("p").alias("p"))
+    alone = counts.where("n = 1").groupBy("k").agg(F.collect_list("p").alias("alone"))
+    out = rows.join(places, "k", "left").join(alone, "k", "left").select("doc_id", "text", "ps", "alone")
     return out.mapInArrow(per_block(_cut(window)), "doc_id long, text string, n_words long, n_removed long, kept_sha256 string")
