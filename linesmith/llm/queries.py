@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import oracles, passages, quality_rules
+from . import jaccard_join, language, oracles, passages, pii, quality_rules, secrets
 from .shared import prepare
 
 
@@ -14,19 +15,46 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; profiles are learned from those whose crc32(doc_id) mod 5 is not 0."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    profiles = language.learn(docs.where(~held_out))
+    return language.identify(docs.withColumn("held_out", held_out), profiles, keep=("doc_id", "held_out"))
+
+
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents linked at a Jaccard similarity of 0.9 of their sets of three-word shingles."""
+    return jaccard_join.jaccard_join(_table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts of policy v1 on every document, with the ledger's bits."""
     ledger = quality_rules.rule_ledger(_table(spark, sf_dir, "documents"))
     return quality_rules.apply_policy(ledger, "v1").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failure_bits")
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document."""
+    return secrets.scan_secrets(_table(spark, sf_dir, "documents"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    return pii.find_pii(_table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated passages of 35 words removed from every document."""
     return passages.remove_repeated_passages(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_language_id": op3_language_id,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op7_quality_rules": op7_quality_rules,
+    "op8_secret_scan": op8_secret_scan,
+    "op9_pii": op9_pii,
     "op10_substring_dedup": op10_substring_dedup,
 }
 SQL: dict[str, str] = oracles.SQL
