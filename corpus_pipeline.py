@@ -1,15 +1,69 @@
-"""From raw documents to packed training sequences, in stages of whole tables."""
+"""From raw documents to packed training sequences, in stages that each work on the whole table that the stage before kept.
+
+run() writes every stage's result as Parquet in the shared folder and reads it back, so that a stage is not computed twice and
+survives the loss of executors. All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from linesmith.llm import jaccard_join, mixing, packing, pii, quality_model
+from linesmith.llm.queries import GRADE, N_WORDS, TARGETS, mixing_dims
+from linesmith.llm.shared import prepare, stored
+
+#: The learned selection works here by the tail of grade 2: good and not toxic.
+TAIL, LEAST = 2, 0.5
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of the best grade stay; the model is fitted on the rated ones among the stage's own input."""
+    prepare(spark)
+    model = quality_model.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.expr(GRADE))
+    return quality_model.select_documents(docs, model, TAIL, LEAST)
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five words, similarity 0.8 or more) the document with the smallest id stays; rows that repeat id and text count once."""
+    prepare(spark)
+    joined = jaccard_join.jaccard_join(docs, words=5, percent=80)
+    others = joined.where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind; n_chars follows the text."""
+    prepare(spark)
+    out = pii.redact_pii(docs)
+    return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else out
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample by the target shares of sources, languages and topics."""
+    return mixing.sample_mixture(docs, F.expr(N_WORDS), mixing_dims(), TARGETS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The places of all documents in training sequences."""
+    prepare(spark)
+    return packing.pack_documents(docs, F.expr(N_WORDS), spread=F.col("text"))
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", classify),
+    ("n-gram Jaccard join", deduplicate),
+    ("PII", redact),
+    ("mixing sources to target weights", mix),
+    ("best-fit packing", pack),
+]
+#: SQL has no form of the classifier, the random field or the packing; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
+        docs = stored(docs) if i < len(STAGES) else docs
     return docs

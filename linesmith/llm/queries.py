@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language, oracles, passages, pii, quality_rules, secrets
+from . import ann, jaccard_join, language, mixing, oracles, packing, passages, pii, quality_model, quality_rules, secrets
 from .shared import prepare
 
 
@@ -15,6 +15,30 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Words of a text, as the unit of its length.
+N_WORDS = "regexp_count(text, '[^\\\\x20\\\\x09-\\\\x0D]+')"
+#: What a text is about, as far as its layout tells.
+TOPIC = "CASE WHEN contains(text, 'icens') THEN 'licence' WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, '%%%') OR contains(text, '!!') THEN 'noise' ELSE 'prose' END"
+#: Target shares: sources flattened, languages given, topics given.
+TARGETS: mixing.Targets = {"source": 0.5, "lang": {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}, "topic": {"prose": 0.85, "licence": 0.05, "table": 0.07, "noise": 0.03}}
+#: Grades: 0 for low quality, 1 for good but toxic, 2 for good.
+GRADE = "CASE WHEN quality IS NULL OR toxic IS NULL THEN NULL WHEN quality = 0 THEN 0 WHEN toxic = 1 THEN 1 ELSE 2 END"
+
+
+def mixing_dims() -> dict:
+    return {"source": F.col("source"), "lang": F.col("lang"), "topic": F.expr(TOPIC)}
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 256 to 2048 words."""
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), F.expr(N_WORDS), spread=F.col("text"))
+
+
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its probability and draw under the target shares of sources, languages and topics."""
+    return mixing.mixture(_table(spark, sf_dir, "documents"), F.expr(N_WORDS), mixing_dims(), TARGETS)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document; profiles are learned from those whose crc32(doc_id) mod 5 is not 0."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -28,6 +52,19 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(_table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and tail probability of every document, and whether it is selected."""
+    docs = _table(spark, sf_dir, "documents")
+    model = quality_model.fit(docs, _table(spark, sf_dir, "labels"), F.expr(GRADE))
+    return quality_model.score_documents(docs, model, tail=2).withColumn("selected", F.col("tail_probability") >= 0.5)
+
+
+def op6_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every vector whose id is divisible by 50."""
+    rows = ann.vectors(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return ann.search(ann.build_index(rows, k=5), rows.where("id % 50 = 0"), k=5)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts of policy v1 on every document, with the ledger's bits."""
     ledger = quality_rules.rule_ledger(_table(spark, sf_dir, "documents"))
@@ -50,8 +87,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_source_mixing": op2_source_mixing,
     "op3_language_id": op3_language_id,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op6_vector_graph": op6_vector_graph,
     "op7_quality_rules": op7_quality_rules,
     "op8_secret_scan": op8_secret_scan,
     "op9_pii": op9_pii,
