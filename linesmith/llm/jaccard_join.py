@@ -5,8 +5,10 @@ the corpus, of fixed size), and only the prefix of each set, of which similar se
 
 * index level: a list is sorted by set size and cut into blocks where sizes are too different to be similar; whole blocks are
   skipped, and so are entries whose positions in their sets leave too few tokens to share;
-* the remaining blocks say which classes may be linked at all. Their connected groups are verified group by group; a group that
-  is large is dealt out as pairs of blocks of bounded size, so that no task holds a whole group and no pair is a row;
+* within the remaining blocks, bitmaps of the parities of hashed tokens bound the difference of two sets from below. Sets are
+  gathered around leaders, at distances at which no similar pair is torn apart, so only plausible groups remain. Their connected
+  components are verified one by one; a large one is dealt out as pairs of blocks of bounded size, so that no task holds a
+  whole group and no pair is a row;
 * answer level: within a task a set takes over the overlaps that were computed for a highly similar set before it, and only
   the lists of the tokens in which the two differ are read.
 
@@ -27,13 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import free_shuffles, prepare, stored
+from .shared import prepare, stored
 from .words import Block, blocks, mix, per_block, window_hash
 
 U = np.uint64
 #: Counters of the frequency sketch; their number is fixed, whatever the corpus.
 SKETCH_BITS = 22
 _SKETCH_PART = 1 << 14
+#: The largest bitmap of a set; beyond its size sets are only told apart less well before they are verified.
+_MOST_BITS = 1 << 16
 #: Sets, and tokens, in one block of a group under verification.
 BLOCK_SETS = 512
 BLOCK_TOKENS = 400_000
@@ -123,28 +127,90 @@ def _sets(k: int, percent: int, levels):
         flat = np.concatenate([np.zeros(0, U), *lists]).view(np.int64)
         offsets = np.concatenate([[0], np.cumsum(prefix)]).astype(np.int32)
         prints = [mark[16 * i : 16 * i + 16] if n[i] else None for i in range(b.n)]
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(prints, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "n", "mark", "tokens"])
+        maps = [_bitmap(h[first[i] : first[i + 1]]) if n[i] else None for i in range(b.n)]
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(prints, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(maps, pa.binary())], ["doc_id", "n", "mark", "tokens", "bitmap"])
 
     return per_block(run, lower=True)
 
 
+def _bitmap(h: np.ndarray) -> bytes:
+    """Parities of the numbers of tokens by their lowest bits; the size is a power of two, four bits a token at least."""
+    bits = min(max(128, 1 << int(4 * len(h) - 1).bit_length()), _MOST_BITS)
+    return np.packbits((np.bincount((h & U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def _fold(bitmap: np.ndarray, size: int) -> np.ndarray:
+    """The bitmap of the same set at a smaller size (both in 64-bit words)."""
+    return np.bitwise_xor.reduce(bitmap.reshape(-1, size), axis=0)
+
+
 def _skip(percent: int):
-    """Over postings sorted by token, set size and position: links every class of a block to the block's first class."""
+    """Over postings sorted by token and set size: (list and band of sizes, class, size) of those with a neighbour in reach.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_token, last_n, root = None, 0, 0
+    A band holds the sizes from 2**k up to 2**(k + 1), and below it those that may still be similar to one of them.
+    """
+
+    def spread(rows: np.ndarray) -> pa.RecordBatch:
+        token, n, rep = rows
+        band = np.floor(np.log2(np.maximum(n, 1))).astype(np.int64)
+        more = np.flatnonzero(100 * n >= percent * (2 << band))
+        token, band = np.concatenate([token, token[more]]), np.concatenate([band, band[more] + 1])
+        key = mix(token.view(U) + band.astype(U) * U(0x9E3779B97F4A7C15))
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.concatenate([rep, rep[more]])), pa.array(np.concatenate([n, n[more]]))], ["run", "rep", "n"])
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, before = np.zeros((3, 0), np.int64), False
         for batch in batches:
-            token, n, rep = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
-            if not len(token):
+            rows = np.concatenate([held, np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2)])], 1)
+            if not rows.shape[1]:
                 continue
-            new = np.ones(len(token), bool)
-            new[1:] = (token[1:] != token[:-1]) | (100 * n[:-1] < percent * n[1:])
-            new[0] = token[0] != last_token or 100 * last_n < percent * n[0]
-            start = np.maximum.accumulate(np.where(new, np.arange(len(token)), -1))
-            roots = np.where(start >= 0, rep[np.maximum(start, 0)], root)
-            last_token, last_n, root = token[-1], n[-1], roots[-1]
-            linked = roots != rep
-            yield pa.RecordBatch.from_arrays([pa.array(rep[linked]), pa.array(roots[linked])], ["a", "b"])
+            near = (rows[0, 1:] == rows[0, :-1]) & (100 * rows[1, :-1] >= percent * rows[1, 1:])
+            keep = np.concatenate([near, [False]]) | np.concatenate([[before], near])
+            yield spread(rows[:, :-1][:, keep[:-1]])
+            held, before = rows[:, -1:], bool(near[-1]) if len(near) else before
+        if held.shape[1] and before:
+            yield spread(held)
+
+    return lists
+
+
+def _gather(percent: int):
+    """Over rows (run, n, rep, bitmap) sorted by run and size: links that keep together what may be similar.
+
+    A set joins every leader within `reach` and becomes a leader itself if none is within `near`. If x is near leader A, y near leader
+    B, and x and y are similar, then A and B differ by at most three such steps, which `reach` covers; so they are joined. All
+    bitmaps of a run are folded to the size of the first.
+    """
+    c = (100 - percent) / (100 + percent)
+    reach = c * (1 + 200 / percent) + 1e-9
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, size = None, 0
+        maps, sizes, names, used = np.zeros((0, 0), U), np.zeros(0), np.zeros(0, np.int64), 0
+        for batch in batches:
+            a, b = [], []
+            runs, ns, reps, bitmaps = (batch.column(i) for i in range(4))
+            for r, n, rep, raw in zip(runs.to_pylist(), ns.to_pylist(), reps.to_pylist(), bitmaps.to_pylist(), strict=True):
+                own = np.frombuffer(raw, U)
+                if r != key:
+                    key, size, used = r, len(own), 1
+                    if maps.shape[1] != size:
+                        maps, sizes, names = np.zeros((8, size), U), np.zeros(8), np.zeros(8, np.int64)
+                    maps[0], sizes[0], names[0] = own, n, rep
+                    continue
+                own = _fold(own, size)
+                away = np.bitwise_count(maps[:used] ^ own).sum(1)
+                both = sizes[:used] + n
+                linked = names[:used][away <= reach * both]
+                linked = linked[linked != rep]
+                a += [rep] * len(linked)
+                b += linked.tolist()
+                if not ((away <= c * both + 1e-9) & (100 * np.minimum(sizes[:used], n) >= percent * np.maximum(sizes[:used], n))).any():
+                    if used == len(maps):
+                        maps, sizes, names = (np.concatenate([x, np.zeros_like(x)]) for x in (maps, sizes, names))
+                    maps[used], sizes[used], names[used] = own, n, rep
+                    used += 1
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
@@ -278,15 +344,14 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     spark = prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     levels = spark.sparkContext.broadcast(frequency_levels(rows.select("text"), words))
-    sets = stored(rows.mapInArrow(_sets(words, percent, levels), "doc_id long, n long, mark binary, tokens array<long>"))
+    sets = stored(rows.mapInArrow(_sets(words, percent, levels), "doc_id long, n long, mark binary, tokens array<long>, bitmap binary"))
     whole = sets.where("doc_id IS NOT NULL AND mark IS NOT NULL")
-    classes = stored(whole.groupBy("mark").agg(F.min(F.struct("doc_id", "n", "tokens")).alias("s"), F.count(F.lit(1)).alias("size")).select("mark", F.col("s.doc_id").alias("rep"), F.col("s.n").alias("n"), "size", F.col("s.tokens").alias("tokens")))
-    free_shuffles(spark)
+    classes = stored(whole.groupBy("mark").agg(F.min(F.struct("doc_id", "n", "tokens", "bitmap")).alias("s"), F.count(F.lit(1)).alias("size")).select("mark", F.col("s.doc_id").alias("rep"), F.col("s.n").alias("n"), "size", F.col("s.tokens").alias("tokens"), F.col("s.bitmap").alias("bitmap")))
 
-    postings = classes.select(F.posexplode("tokens").alias("p", "token"), "n", "rep").select("token", "n", "p", "rep")
-    lists = postings.repartition("token").sortWithinPartitions("token", "n", "p")
-    near = components(lists.mapInArrow(_skip(percent), "a long, b long"))
-    free_shuffles(spark)
+    postings = classes.select(F.explode("tokens").alias("token"), "n", "rep")
+    lists = postings.repartition("token").sortWithinPartitions("token", "n").mapInArrow(_skip(percent), "run long, rep long, n long")
+    lists = lists.join(classes.select("rep", "bitmap"), "rep").select("run", "n", "rep", "bitmap")
+    near = components(lists.repartition("run").sortWithinPartitions("run", "n", "rep").mapInArrow(_gather(percent), "a long, b long"))
 
     roots = near.select("root").distinct().select(F.col("root").alias("u"), "root")
     near = near.unionByName(roots).withColumnRenamed("u", "rep").join(classes.select("rep", "n", "size"), "rep")
@@ -299,7 +364,6 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     dealt = dealt.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "size", "block", "tokens")
     checked = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "rep").mapInArrow(_verify(percent), "a long, b long, links long")
     checked = stored(checked)
-    free_shuffles(spark)
 
     joined = components(checked.select("a", "b"))
     counts = checked.groupBy("a").agg(F.sum("links").alias("links"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import free_shuffles, prepare, stored
+from .shared import prepare, stored
 from .words import Block, covered, per_block, window_hash
 
 WINDOW = 35
@@ -122,17 +122,15 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
     """doc_id, text (kept words joined by one space), n_words, n_removed, kept_sha256 of every row of docs."""
     if window < PERIOD + 4:
         raise ValueError(f"window must be at least {PERIOD + 4} words")
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("k", F.xxhash64("doc_id", "text"))
 
     twice = rows.select("text").mapInArrow(per_block(_count_anchors(window)), "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
     twice = stored(twice)
-    free_shuffles(spark)
     places = rows.select("text", "k").mapInArrow(per_block(_place_anchors(window)), "h long, k long, p int")
     places = places.join(twice, "h", "left_semi").groupBy("k").agg(F.collect_set("p").alias("ps"))
     places = stored(places)
-    free_shuffles(spark)
 
     # Both uses of the texts have the same columns and partitioning, so that Spark shuffles them once.
     windows = rows.join(places, "k").select("doc_id", "text", "k", "ps").mapInArrow(per_block(_extend(window)), "h1 long, h2 long, k long, p int")

@@ -28,14 +28,22 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Spark then deletes the shuffle files of an execution as it ends; what it wrote is read from the shared folder.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: cuts the lineage and survives the loss of executors."""
+    """Writes df as Parquet in the shared folder and reads it back: cuts the lineage, survives the loss of executors, and frees the shuffle files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/linesmith-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN_UP)
+        else:
+            spark.conf.set(_CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def free_shuffles(spark: SparkSession) -> None:
-    """After a stage has been stored: lets the driver's JVM notice that the shuffle files of that stage are no longer needed."""
-    spark.sparkContext._jvm.System.gc()
