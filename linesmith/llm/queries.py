@@ -98,4 +98,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_substring_dedup": op10_substring_dedup,
 }
-SQL: dict[str, str] = oracles.SQL
+SQL: dict[str, str] = oracles.sql(TOPIC, TARGETS)
