@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from linesmith.plans import text_plans
+
+_PLANS = (text_plans.P,)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: q for p in _PLANS for k, q in p.queries.items()}
+SQL: dict[str, str] = {k: s for p in _PLANS for k, s in p.sql.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return QUERIES["p15_p16_p17_p18_candidates"](spark, sf_dir)
