@@ -133,12 +133,12 @@ def part_number_candidates(c: Column) -> Column:
 
 def lookup_variations(candidates: Column) -> Column:
     """Each candidate as it is, without `-/`, and without `-/.`."""
-    return F.array_distinct(F.concat(candidates, F.transform(candidates, lambda x: remove_separators(x, dots=False)), F.transform(candidates, remove_separators)))
+    return F.array_distinct(F.concat(candidates, F.transform(candidates, lambda x: remove_separators(x, dots=False)), F.transform(candidates, lambda x: remove_separators(x))))
 
 
 def independent_candidates(candidates: Column) -> Column:
     """Normalised candidates that are not part of another one."""
-    n = F.array_distinct(F.transform(candidates, remove_separators))
+    n = F.array_distinct(F.transform(candidates, lambda x: remove_separators(x)))
     return F.filter(n, lambda a: ~F.exists(n, lambda b: (a != b) & F.contains(b, a)))
 
 
