@@ -34,7 +34,7 @@ from .words import Block, blocks, mix, per_block, window_hash
 
 U = np.uint64
 #: Counters of the frequency sketch; their number is fixed, whatever the corpus.
-SKETCH_BITS = 22
+SKETCH_BITS = 24
 _SKETCH_PART = 1 << 14
 #: The largest bitmap of a set; beyond its size sets are only told apart less well before they are verified.
 _MOST_BITS = 1 << 16
@@ -67,12 +67,13 @@ def needed(n: np.ndarray, percent: int) -> np.ndarray:
 
 def _sketch_counts(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.uint32)
+        total = np.zeros(1 << SKETCH_BITS, np.uint8)  # a task counts up to 255, which is common enough
         for batch in batches:
             for b in blocks(batch, "text", lower=True):
                 h, _ = shingles(b, k)
                 at, n = np.unique(h >> U(64 - SKETCH_BITS), return_counts=True)
-                total[at.astype(np.int64)] += n.astype(np.uint32)
+                at = at.astype(np.int64)
+                total[at] = np.minimum(total[at] + np.minimum(n, 255), 255)
         yield from _parts(enumerate(total.reshape(-1, _SKETCH_PART)))
 
     return run
@@ -87,7 +88,7 @@ def _sketch_sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for i, p in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            counts = np.frombuffer(p.as_buffer(), np.uint32).astype(np.uint64)
+            counts = np.frombuffer(p.as_buffer(), np.uint8).astype(np.uint32)
             total[i] = total[i] + counts if i in total else counts
     levels = ((i, np.ceil(np.log2(t.astype(float) + 1)).astype(np.uint8)) for i, t in total.items())
     yield from _parts(levels)
@@ -127,15 +128,15 @@ def _sets(k: int, percent: int, levels):
         flat = np.concatenate([np.zeros(0, U), *lists]).view(np.int64)
         offsets = np.concatenate([[0], np.cumsum(prefix)]).astype(np.int32)
         prints = [mark[16 * i : 16 * i + 16] if n[i] else None for i in range(b.n)]
-        maps = [_bitmap(h[first[i] : first[i + 1]]) if n[i] else None for i in range(b.n)]
+        maps = [_bitmap(h[first[i] : first[i + 1]], 2 if percent >= 90 else 4) if n[i] else None for i in range(b.n)]
         return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(prints, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(maps, pa.binary())], ["doc_id", "n", "mark", "tokens", "bitmap"])
 
     return per_block(run, lower=True)
 
 
-def _bitmap(h: np.ndarray) -> bytes:
-    """Parities of the numbers of tokens by their lowest bits; the size is a power of two, four bits a token at least."""
-    bits = min(max(128, 1 << int(4 * len(h) - 1).bit_length()), _MOST_BITS)
+def _bitmap(h: np.ndarray, per_token: int) -> bytes:
+    """Parities of the numbers of tokens by their lowest bits; the size is a power of two, `per_token` bits a token at least."""
+    bits = min(max(128, 1 << int(per_token * len(h) - 1).bit_length()), _MOST_BITS)
     return np.packbits((np.bincount((h & U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
@@ -177,7 +178,7 @@ def _skip(percent: int):
 def _gather(percent: int):
     """Over rows (run, n, rep, bitmap) sorted by run and size: links that keep together what may be similar.
 
-    A set joins every leader within `reach` and becomes a leader itself if none is within `near`. If x is near leader A, y near leader
+    A set joins the groups of all leaders within `reach` and becomes a leader itself if none is near. If x is near leader A, y near leader
     B, and x and y are similar, then A and B differ by at most three such steps, which `reach` covers; so they are joined. All
     bitmaps of a run are folded to the size of the first.
     """
@@ -187,6 +188,14 @@ def _gather(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, size = None, 0
         maps, sizes, names, used = np.zeros((0, 0), U), np.zeros(0), np.zeros(0, np.int64), 0
+        parent: list[int] = []
+
+        def find(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
         for batch in batches:
             a, b = [], []
             runs, ns, reps, bitmaps = (batch.column(i) for i in range(4))
@@ -197,18 +206,24 @@ def _gather(percent: int):
                     if maps.shape[1] != size:
                         maps, sizes, names = np.zeros((8, size), U), np.zeros(8), np.zeros(8, np.int64)
                     maps[0], sizes[0], names[0] = own, n, rep
+                    parent[:] = [0]
                     continue
                 own = _fold(own, size)
                 away = np.bitwise_count(maps[:used] ^ own).sum(1)
                 both = sizes[:used] + n
-                linked = names[:used][away <= reach * both]
-                linked = linked[linked != rep]
-                a += [rep] * len(linked)
-                b += linked.tolist()
+                groups = sorted({find(i) for i in np.flatnonzero(away <= reach * both).tolist()})
+                if groups:
+                    a.append(rep)
+                    b.append(int(names[groups[0]]))
+                for g in groups[1:]:
+                    parent[g] = groups[0]
+                    a.append(int(names[g]))
+                    b.append(int(names[groups[0]]))
                 if not ((away <= c * both + 1e-9) & (100 * np.minimum(sizes[:used], n) >= percent * np.maximum(sizes[:used], n))).any():
                     if used == len(maps):
                         maps, sizes, names = (np.concatenate([x, np.zeros_like(x)]) for x in (maps, sizes, names))
                     maps[used], sizes[used], names[used] = own, n, rep
+                    parent.append(groups[0] if groups else used)
                     used += 1
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
