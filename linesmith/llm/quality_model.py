@@ -83,37 +83,37 @@ class OrdinalModel:
         return _sigmoid(score[:, None] - self.thresholds[None, :])
 
 
-def fit_arrays(doc: np.ndarray, slot: np.ndarray, value: np.ndarray, grade: np.ndarray, rounds: int = 300, rate: float = 0.1, l2: float = 3e-4) -> OrdinalModel:
-    """Maximum likelihood by full-batch AdaGrad; grades are 0..K-1."""
-    n, k = len(grade), int(grade.max()) + 1
+def fit_arrays(doc: np.ndarray, slot: np.ndarray, value: np.ndarray, grade: np.ndarray, rounds: int = 300, rate: float = 0.08, l2: float = 1e-3) -> OrdinalModel:
+    """Penalised maximum likelihood by full-batch Adam; grades are 0..K-1. The shares of the layout are not penalised."""
+    n, k = len(grade), max(int(grade.max()) + 1, 2)
     used, slot = np.unique(slot, return_inverse=True)
-    common = np.bincount(slot) >= _LEAST_DOCS
-    common[used < _SHARES] = True
-    w, gw = np.zeros(len(used)), np.full(len(used), 1e-8)
-    # thresholds: the first, and the logarithms of the steps to the next ones
+    layout = used < _SHARES
+    common = (np.bincount(slot) >= max(_LEAST_DOCS, n // 500)) | layout
+    keep = common[slot]
+    doc, slot, value = doc[keep], slot[keep], value[keep]
     share = np.clip(np.cumsum(np.bincount(grade, minlength=k))[:-1] / n, 0.01, 0.99)
     theta = np.log(share / (1 - share))
-    t = np.concatenate([theta[:1], np.log(np.maximum(np.diff(theta), 0.05))])
-    gt = np.full(len(t), 1e-8)
-    for _ in range(rounds):
+    # all parameters in one vector: weights, the first threshold, and the logarithms of the steps to the next ones
+    x = np.concatenate([np.zeros(len(used)), theta[:1], np.log(np.maximum(np.diff(theta), 0.05))])
+    m, v = np.zeros(len(x)), np.zeros(len(x))
+    bounds = lambda t: np.concatenate([[-np.inf], t, [np.inf]])
+    for i in range(1, rounds + 1):
+        w, t = x[: len(used)], x[len(used) :]
         theta = np.concatenate([t[:1], t[0] + np.cumsum(np.exp(t[1:]))])
         score = np.bincount(doc, value * w[slot], minlength=n)
-        bounds = np.concatenate([[-np.inf], theta, [np.inf]])
-        upper, lower = _sigmoid(bounds[grade + 1] - score), _sigmoid(bounds[grade] - score)
+        upper, lower = _sigmoid(bounds(theta)[grade + 1] - score), _sigmoid(bounds(theta)[grade] - score)
         likely = np.maximum(upper - lower, 1e-9)
-        step = np.bincount(slot, value * ((upper + lower - 1) / n)[doc], minlength=len(w)) - l2 * w / n * 10
-        step[~common] = 0
-        gw += step**2
-        w += rate * step / np.sqrt(gw)
+        gw = np.bincount(slot, value * ((upper + lower - 1) / n)[doc], minlength=len(used)) - l2 * np.where(layout, 0, w)
         d = np.zeros(k + 1)
         np.add.at(d, grade + 1, upper * (1 - upper) / likely / n)
         np.add.at(d, grade, -lower * (1 - lower) / likely / n)
         tail = np.cumsum(d[1:k][::-1])[::-1]
-        st = np.concatenate([tail[:1], tail[1:] * np.exp(t[1:])])
-        gt += st**2
-        t += rate * st / np.sqrt(gt)
+        g = np.concatenate([gw, tail[:1], tail[1:] * np.exp(t[1:])])
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        x = x + rate * (1 - i / (rounds + 1)) * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-8)
+    t = x[len(used) :]
     weights = np.zeros(1 << BITS)
-    weights[used] = w
+    weights[used[common]] = x[: len(used)][common]
     return OrdinalModel(weights, np.concatenate([t[:1], t[0] + np.cumsum(np.exp(t[1:]))]))
 
 
