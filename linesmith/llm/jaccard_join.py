@@ -41,6 +41,8 @@ _MOST_BITS = 1 << 16
 #: Sets, and tokens, in one block of a group under verification.
 BLOCK_SETS = 512
 BLOCK_TOKENS = 400_000
+#: The largest list of classes (40 bytes a row) that is broadcast to find their texts.
+BROADCAST_ROWS = 1_000_000
 
 
 def shingles(b: Block, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -372,8 +374,10 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     near = near.unionByName(roots).withColumnRenamed("u", "rep").join(classes.select("rep", "n", "size"), "rep")
     near = stored(near)
     shape = near.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
-    near = near.join(shape, "root").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    texts = rows.join(near.select("root", "rep", "size", "blocks", "block"), rows.doc_id == near.rep)
+    near = stored(near.join(shape, "root").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")))
+    wanted = near.select("root", "rep", "size", "blocks", "block")
+    # Five numbers per class go to every executor while they are few; beyond that, texts and classes are shuffled.
+    texts = rows.join(F.broadcast(wanted) if near.count() <= BROADCAST_ROWS else wanted, rows.doc_id == wanted.rep)
     found = texts.select("root", "rep", "size", "blocks", "block", "text").mapInArrow(_as_sets(words), "root long, rep long, size long, blocks int, block int, tokens binary")
     dealt = found.select("root", "rep", "size", "block", "tokens", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "size", "block", "tokens")
