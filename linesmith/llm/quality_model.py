@@ -30,8 +30,8 @@ BITS = 18
 #: The first slots belong to the shares of the layout.
 _SHARES = 6
 MAX_TRAIN = 8192
-#: A hashed word needs this many documents of the sample to get a weight.
-_LEAST_DOCS = 4
+#: A hashed word needs this many documents of the sample, and one in a hundred, to get a weight.
+_LEAST_DOCS = 10
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[48:58], _FOLD[97:123] = np.arange(48, 58), np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
@@ -83,12 +83,12 @@ class OrdinalModel:
         return _sigmoid(score[:, None] - self.thresholds[None, :])
 
 
-def fit_arrays(doc: np.ndarray, slot: np.ndarray, value: np.ndarray, grade: np.ndarray, rounds: int = 300, rate: float = 0.08, l2: float = 1e-3) -> OrdinalModel:
+def fit_arrays(doc: np.ndarray, slot: np.ndarray, value: np.ndarray, grade: np.ndarray, rounds: int = 300, rate: float = 0.3, l2: float = 5e-4) -> OrdinalModel:
     """Penalised maximum likelihood by full-batch Adam; grades are 0..K-1. The shares of the layout are not penalised."""
     n, k = len(grade), max(int(grade.max()) + 1, 2)
     used, slot = np.unique(slot, return_inverse=True)
     layout = used < _SHARES
-    common = (np.bincount(slot) >= max(_LEAST_DOCS, n // 500)) | layout
+    common = (np.bincount(slot) >= max(_LEAST_DOCS, n // 100)) | layout
     keep = common[slot]
     doc, slot, value = doc[keep], slot[keep], value[keep]
     share = np.clip(np.cumsum(np.bincount(grade, minlength=k))[:-1] / n, 0.01, 0.99)
