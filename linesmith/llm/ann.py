@@ -179,7 +179,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARCH_BEAM
     """query_id, rank, vec_id, score: the nearest found of each query (id, v), its own row excluded."""
     queries = stored(queries)
     blocks = max(1, -(-queries.count() // query_block))
-    shards = index.select("dim", "shard")
+    shards = index.select(F.col("dim").alias("dim"), F.col("shard").alias("shard"))
     asked = queries.select("id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")).join(shards, "dim")
     held = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
