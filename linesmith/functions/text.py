@@ -254,3 +254,18 @@ def json_outcome(c: Column) -> Column:
     """ok, truncated (it begins like JSON), invalid or empty."""
     body = fenced_json(c)
     return F.when(body.isNull() | (body == ""), "empty").when(F.try_parse_json(body).isNotNull(), "ok").when(F.rlike(body, F.lit(r"^[\[{]")), "truncated").otherwise("invalid")
+
+
+def central_time(ts: Column) -> Column:
+    """A UTC time as US central time."""
+    return F.convert_timezone(F.lit("UTC"), F.lit("America/Chicago"), ts.cast("timestamp_ntz"))
+
+
+def utc_iso(ts: Column) -> Column:
+    return F.date_format(ts.cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def in_days_before(ts: Column, as_of: Column, days: int) -> Column:
+    """From midnight so many days before as_of up to the last midnight."""
+    today = F.date_trunc("day", as_of)
+    return (ts >= today - F.make_dt_interval(days=F.lit(days))) & (ts < today)

@@ -154,3 +154,16 @@ def finished_status(status: Column) -> Column:
     """The store's states as the queue names them."""
     names = F.create_map(*(F.lit(x) for x in ("pending", "queued", "processing", "in_progress", "done", "completed", "error", "failed")))
     return names[status]
+
+
+def without_vectors(df: DataFrame) -> DataFrame:
+    """df without vectors and service columns (@...), its not-a-number values as null."""
+    keep = [(n, t) for n, t in df.dtypes if not n.startswith("@") and t not in ("array<float>", "array<double>")]
+    return df.select(*(F.when(~F.isnan(f"`{n}`"), F.col(f"`{n}`")).alias(n) if t in ("float", "double") else F.col(f"`{n}`") for n, t in keep))
+
+
+def lemmatised(rows: DataFrame, lexicon: DataFrame, key: str, text: str) -> DataFrame:
+    """key and text with every token replaced by its lemma, where the lexicon (token, lemma; one row per token) has one."""
+    tokens = rows.select(key, F.posexplode(F.split(text, r"\s+")).alias("pos", "token"))
+    found = tokens.join(lexicon.select("token", "lemma"), "token", "left").select(key, F.struct("pos", F.coalesce("lemma", "token").alias("t")).alias("s"))
+    return found.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["t"]), " ").alias(text))

@@ -149,3 +149,28 @@ def s22_p38_run_times(t: Fixtures) -> DataFrame:
 def s24_state_transitions(t: Fixtures) -> DataFrame:
     s = F.col("status")
     return t.jobs.select("id", T.finished_status(s).alias("queue_status"), F.when(s == "processing", F.col("updated_s")).alias("started_s"), F.when(s == "done", F.col("updated_s")).alias("completed_s"))
+
+
+_LEXICON = "SELECT DISTINCT w AS token, left(w, 3) AS lemma FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) WHERE length(w) % 2 = 0"
+
+
+@P.query(sql=f"WITH lex AS ({_LEXICON}), t AS (SELECT p_partkey, unnest(range(1, len(ws) + 1)) AS pos, unnest(ws) AS token FROM (SELECT p_partkey, string_split(p_name, ' ') AS ws FROM part)) SELECT p_partkey, string_agg(coalesce(lemma, t.token), ' ' ORDER BY pos) AS p_name FROM t LEFT JOIN lex ON lex.token = t.token GROUP BY p_partkey")
+def p03_lemmatised(t: Fixtures) -> DataFrame:
+    lexicon = t.part.select(F.explode(F.split("p_name", " ")).alias("token")).distinct().where("length(token) % 2 = 0").withColumn("lemma", F.left("token", F.lit(3)))
+    return T.lemmatised(t.part.select("p_partkey", "p_name"), lexicon, "p_partkey", "p_name")
+
+
+@P.query(sql="SELECT vec_id, label, CASE WHEN vec_id % 3 <> 0 THEN CAST(vec_id AS DOUBLE) END AS amount, CASE WHEN vec_id % 3 <> 0 THEN '{\"label\":' || label || ',\"amount\":' || vec_id || '.0}' ELSE '{\"label\":' || label || '}' END AS doc FROM embeddings")
+def p35_without_vectors(t: Fixtures) -> DataFrame:
+    rows = t.embeddings.withColumns({"@search.score": F.lit(1.0), "amount": F.when(F.col("vec_id") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("vec_id").cast("double"))})
+    plain = T.without_vectors(rows)
+    return plain.withColumn("doc", T.json_payload("label", "amount"))
+
+
+@P.query(sql="SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso, strftime(ts - INTERVAL 6 HOUR, '%Y-%m-%d %H:%M') AS central, ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-13' AS in_window FROM events")
+def p37_p38_times(t: Fixtures) -> DataFrame:
+    from linesmith.functions import text as X
+
+    ts = F.col("ts").cast("timestamp_ntz")
+    as_of = F.lit("2024-01-13 15:00:00").cast("timestamp_ntz")
+    return t.events.select("event_id", X.utc_iso(ts).alias("iso"), F.date_format(X.central_time(ts), "yyyy-MM-dd HH:mm").alias("central"), X.in_days_before(ts, as_of, 3).alias("in_window"))
