@@ -2,7 +2,9 @@
 
 Only DataFrame functions are used. The corpus is summed up once to a table of cells (source, language, topic, or any other
 dimensions) with partial sums before the shuffle. Each round rescales the cells' shares of all tokens to the targets of one
-dimension after the other, by window sums over the small table of cells. A document is then kept with the probability
+dimension after the other, by window sums over the small table of cells. A cell's fitted share is held to at most `most`
+times its actual one after each round, else a cell of few tokens with a large target would shrink the whole sample; the other
+cells of its values take over in the next round, as far as they can. A document is then kept with the probability
 `p = r / max(r)`, where r is its cell's fitted share over its actual one: expected tokens are in the fitted proportions, no
 document is repeated, and the sample is as large as that allows. The draw is a hash of the id and a seed, so it does not
 depend on partitions or order.
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 from .shared import stored
 
 ROUNDS = 10
+#: The largest ratio of fitted to actual share.
+MOST = 2.0
 NONE = "(none)"
 Targets = dict[str, float | dict[str, float]]
 
@@ -41,21 +45,23 @@ def _targets(cells: DataFrame, name: str, target: float | dict[str, float]) -> D
     return out.select(name, (F.col("raw") / F.sum("raw").over(Window.partitionBy())).alias(f"target_{name}"))
 
 
-def fit_cells(cells: DataFrame, targets: Targets, rounds: int = ROUNDS) -> DataFrame:
+def fit_cells(cells: DataFrame, targets: Targets, rounds: int = ROUNDS, most: float = MOST) -> DataFrame:
     """cells (the dimensions and tokens) with share (fitted), ratio (fitted over actual) and probability."""
     out = cells
     for name, target in targets.items():
         out = out.join(_targets(cells, name, target), name, "left")
     out = out.select(*targets, "tokens", *(F.coalesce(f"target_{n}", F.lit(0.0)).alias(f"target_{n}") for n in targets))
-    out = stored(out.withColumn("share", F.col("tokens") / F.sum("tokens").over(Window.partitionBy())))
+    out = out.withColumn("actual", F.col("tokens") / F.sum("tokens").over(Window.partitionBy()))
+    out = stored(out.withColumn("share", F.col("actual")))
     for _ in range(rounds):
         for name in targets:
             total = F.sum("share").over(Window.partitionBy(name))
             out = out.withColumn("share", F.when(F.col("share") > 0, F.col("share") * F.col(f"target_{name}") / total).otherwise(F.lit(0.0)))
+        out = out.withColumn("share", F.least("share", F.col("actual") * most))
     everything = Window.partitionBy()
     out = out.withColumn("ratio", F.when(F.col("tokens") > 0, F.col("share") * F.sum("tokens").over(everything) / F.col("tokens")).otherwise(F.lit(0.0)))
-    most = F.max("ratio").over(everything)
-    return out.withColumn("probability", F.when(most > 0, F.round(F.col("ratio") / most, 9)).otherwise(F.lit(0.0))).select(*targets, "tokens", "share", "ratio", "probability")
+    largest = F.max("ratio").over(everything)
+    return out.withColumn("probability", F.when(largest > 0, F.round(F.col("ratio") / largest, 9)).otherwise(F.lit(0.0))).select(*targets, "tokens", "share", "ratio", "probability")
 
 
 def draw(key: Column, seed: int) -> Column:
@@ -69,24 +75,24 @@ def _with_dims(docs: DataFrame, n_tokens: Column, dims: dict[str, Column]) -> Da
     return docs.withColumns(made | {"__tokens": F.greatest(F.coalesce(n_tokens.cast("long"), F.lit(0)), F.lit(0))})
 
 
-def _cells(rows: DataFrame, targets: Targets, rounds: int) -> DataFrame:
+def _cells(rows: DataFrame, targets: Targets, rounds: int, most: float) -> DataFrame:
     cells = rows.groupBy(*(F.col(f"__{n}").alias(n) for n in targets)).agg(F.sum("__tokens").alias("tokens"))
-    return stored(fit_cells(stored(cells), targets, rounds))
+    return stored(fit_cells(stored(cells), targets, rounds, most))
 
 
-def mixture(docs: DataFrame, n_tokens: Column, dims: dict[str, Column], targets: Targets, rounds: int = ROUNDS, seed: int = 0, id_col: str = "doc_id") -> DataFrame:
+def mixture(docs: DataFrame, n_tokens: Column, dims: dict[str, Column], targets: Targets, rounds: int = ROUNDS, most: float = MOST, seed: int = 0, id_col: str = "doc_id") -> DataFrame:
     """Every row: doc_id, the dimensions, n_tokens, probability, and whether it is sampled."""
     rows = _with_dims(docs, n_tokens, dims)
-    cells = _cells(rows, targets, rounds).select(*(F.col(n).alias(f"__{n}") for n in targets), "probability")
+    cells = _cells(rows, targets, rounds, most).select(*(F.col(n).alias(f"__{n}") for n in targets), "probability")
     slim = rows.select(F.col(id_col).alias("doc_id"), "__tokens", *(f"__{n}" for n in targets))
     out = slim.join(cells, [f"__{n}" for n in targets], "left")
     sampled = draw(F.col("doc_id"), seed) < F.col("probability")
     return out.select("doc_id", *(F.col(f"__{n}").alias(n) for n in targets), F.col("__tokens").alias("n_tokens"), "probability", sampled.alias("sampled"))
 
 
-def sample_mixture(docs: DataFrame, n_tokens: Column, dims: dict[str, Column], targets: Targets, rounds: int = ROUNDS, seed: int = 0, id_col: str = "doc_id") -> DataFrame:
+def sample_mixture(docs: DataFrame, n_tokens: Column, dims: dict[str, Column], targets: Targets, rounds: int = ROUNDS, most: float = MOST, seed: int = 0, id_col: str = "doc_id") -> DataFrame:
     """The sampled rows of docs, with their columns."""
     rows = _with_dims(docs, n_tokens, dims)
-    cells = _cells(rows, targets, rounds).select(*(F.col(n).alias(f"__{n}") for n in targets), F.col("probability").alias("__p"))
+    cells = _cells(rows, targets, rounds, most).select(*(F.col(n).alias(f"__{n}") for n in targets), F.col("probability").alias("__p"))
     out = rows.join(cells, [f"__{n}" for n in targets], "left")
     return out.where(draw(F.col(id_col), seed) < F.col("__p")).select(*docs.columns)

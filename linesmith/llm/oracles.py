@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from .language import TOP
-from .mixing import ROUNDS
+from .mixing import MOST, ROUNDS
 from .quality_rules import POLICIES, RULES
 from .secrets import ADDED, BASE
 
@@ -76,6 +76,8 @@ def _op2(rounds: int, topic: str, targets: dict, seed: int = 0) -> str:
             new = f"w{i}_{name}"
             steps.append(f"{new} AS (SELECT * REPLACE (CASE WHEN share > 0 THEN share * t_{name} / sum(share) OVER (PARTITION BY {name}) ELSE 0.0 END AS share) FROM {last})")
             last = new
+        steps.append(f"w{i} AS (SELECT * REPLACE (least(share, actual * {MOST}) AS share) FROM {last})")
+        last = f"w{i}"
     goals = []
     for name, target in targets.items():
         raw = "CASE " + " ".join(f"WHEN {name} = '{v}' THEN CAST({x} AS DOUBLE)" for v, x in target.items()) + " ELSE 0.0 END" if isinstance(target, dict) else f"pow(CAST(m AS DOUBLE), {target})"
@@ -88,7 +90,7 @@ WITH d AS (
 cells AS (SELECT {names}, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM d GROUP BY {names}),
 {", ".join(goals)},
 c0 AS (
-  SELECT {names}, tokens, {", ".join(f"coalesce(t_{n}, 0.0) AS t_{n}" for n in targets)}, tokens / CAST(sum(tokens) OVER () AS DOUBLE) AS share
+  SELECT {names}, tokens, {", ".join(f"coalesce(t_{n}, 0.0) AS t_{n}" for n in targets)}, tokens / CAST(sum(tokens) OVER () AS DOUBLE) AS actual, tokens / CAST(sum(tokens) OVER () AS DOUBLE) AS share
   FROM cells {" ".join(f"LEFT JOIN g_{n} USING ({n})" for n in targets)}),
 {", ".join(steps)},
 r AS (SELECT {names}, CASE WHEN tokens > 0 THEN share * CAST(sum(tokens) OVER () AS DOUBLE) / tokens ELSE 0.0 END AS ratio FROM {last}),

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from linesmith.llm import ann, jaccard_join, language, packing, pii, quality_model, secrets
+from linesmith.llm import ann, jaccard_join, language, mixing, packing, pii, quality_model, secrets
 from linesmith.llm import queries as q
 from linesmith.llm.components import components
 
@@ -64,12 +64,42 @@ def test_packing_odd_rows(spark, tmp_path):
     assert len(got[got.doc_id == 8]) == 2 and got[got.doc_id == 10].length.sum() == 400
 
 
+def plain_raking(tokens, targets, rounds, most):
+    """Raking of a table of cells (dimension values to tokens), held to a largest ratio."""
+    total = sum(tokens.values())
+    actual = {c: t / total for c, t in tokens.items()}
+    share = dict(actual)
+    for _ in range(rounds):
+        for d, goal in enumerate(targets):
+            sums = {}
+            for c, s in share.items():
+                sums[c[d]] = sums.get(c[d], 0) + s
+            share = {c: s * goal[c[d]] / sums[c[d]] if s > 0 else 0 for c, s in share.items()}
+        share = {c: min(s, actual[c] * most) for c, s in share.items()}
+    ratio = {c: share[c] / actual[c] if actual[c] else 0 for c in share}
+    return {c: r / max(ratio.values()) for c, r in ratio.items()}
+
+
+@pytest.mark.parametrize("most", [1.5, 1e9])
+def test_raking_of_cells(spark, most):
+    rng = np.random.default_rng(4)
+    tokens = {(f"s{i}", f"l{j}"): int(rng.integers(0, 50)) * (i + 1) for i in range(4) for j in range(3)}
+    goals = {"source": {f"s{i}": 0.25 for i in range(4)}, "lang": {"l0": 0.5, "l1": 0.3, "l2": 0.2}}
+    cells = spark.createDataFrame([(*c, t) for c, t in tokens.items()], "source string, lang string, tokens long")
+    got = {(r.source, r.lang): r.probability for r in mixing.fit_cells(cells, goals, 10, most).collect()}
+    want = plain_raking(tokens, list(goals.values()), 10, most)
+    assert all(abs(got[c] - want[c]) < 1e-6 for c in want)
+
+
 def test_mixture_meets_its_targets(spark):
-    got = q.QUERIES["op2_source_mixing"](spark, SF)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = mixing.mixture(docs, F.expr(q.N_WORDS), {"source": F.col("source"), "lang": F.col("lang")}, {k: q.TARGETS[k] for k in ("source", "lang")}, rounds=40, most=1e9)
     e = got.withColumn("e", F.col("n_tokens") * F.col("probability")).groupBy("lang").agg(F.sum("e").alias("e")).toPandas().set_index("lang").e
     share = (e / e.sum()).to_dict()
     for lang, want in q.TARGETS["lang"].items():
         assert abs(share[lang] - want) < 0.01
+    sampled = q.QUERIES["op2_source_mixing"](spark, SF).agg(F.avg(F.col("sampled").cast("int"))).first()[0]
+    assert sampled > 0.3
 
 
 def test_language_accuracy_on_held_out(spark):
