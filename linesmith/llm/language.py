@@ -58,6 +58,7 @@ def _aligned(a: np.ndarray, n: int) -> np.ndarray:
 
 
 def _grams(a: np.ndarray, n: int) -> np.ndarray:
+    """The n-grams of words with a space at either end; a space stands only at an end of an n-gram, and not alone."""
     if len(a) < n:
         return np.zeros(0, np.int64)
     m = len(a) - n + 1
