@@ -15,6 +15,8 @@ from linesmith.llm.shared import prepare, stored
 
 #: The learned selection works here by the tail of grade 2: good and not toxic.
 TAIL, LEAST = 2, 0.5
+#: The longest list of ids (with two flags) that is broadcast; a longer one is shuffled with the documents.
+MARKS = 1_000_000
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +31,14 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     joined = jaccard_join.jaccard_join(docs, words=5, percent=80)
     others = joined.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    # Only ids that come twice need their texts compared; all other rows are kept or dropped by their id alone.
+    twice = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    marks = stored(others.withColumn("__drop", F.lit(True)).join(twice.withColumn("__twice", F.lit(True)), "doc_id", "full_outer"))
+    marks = F.broadcast(marks) if marks.count() <= MARKS else marks
+    marked = docs.withColumn("__id", F.col("doc_id")).join(marks.withColumnRenamed("doc_id", "__id"), "__id", "left").where("__drop IS NULL")
+    once = marked.where("__twice IS NULL AND doc_id IS NOT NULL").select(*docs.columns)
+    again = marked.where("__twice IS NOT NULL OR doc_id IS NULL").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return once.unionByName(again)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

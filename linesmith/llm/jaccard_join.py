@@ -130,15 +130,15 @@ def _sets(k: int, percent: int, levels):
         flat = np.concatenate([np.zeros(0, U), *lists]).view(np.int64)
         offsets = np.concatenate([[0], np.cumsum(prefix)]).astype(np.int32)
         prints = [mark[16 * i : 16 * i + 16] if n[i] else None for i in range(b.n)]
-        maps = [_bitmap(h[first[i] : first[i + 1]], 2 if percent >= 90 else 4) if n[i] else None for i in range(b.n)]
+        maps = [_bitmap(h[first[i] : first[i + 1]], 2 if percent >= 90 else 2.6) if n[i] else None for i in range(b.n)]
         return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(prints, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(maps, pa.binary())], ["doc_id", "n", "mark", "tokens", "bitmap"])
 
     return per_block(run, lower=True)
 
 
-def _bitmap(h: np.ndarray, per_token: int) -> bytes:
+def _bitmap(h: np.ndarray, per_token: float) -> bytes:
     """Parities of the numbers of tokens by their lowest bits; the size is a power of two, `per_token` bits a token at least."""
-    bits = min(max(128, 1 << int(per_token * len(h) - 1).bit_length()), _MOST_BITS)
+    bits = min(max(128, 1 << int(np.ceil(per_token * len(h)) - 1).bit_length()), _MOST_BITS)
     return np.packbits((np.bincount((h & U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
