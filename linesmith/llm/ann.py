@@ -22,6 +22,8 @@ from .shared import stored
 
 SHARD_SIZE = 4096
 QUERY_BLOCK = 512
+#: Tasks that build the graphs of shards, at most.
+MOST_TASKS = 20_000
 DEGREE = 24
 BEAM = 48
 SEARCH_BEAM = 128
@@ -171,7 +173,9 @@ def build_index(rows: DataFrame, k: int, shard_size: int = SHARD_SIZE) -> DataFr
         g = build(x / np.linalg.norm(x, axis=1, keepdims=True))
         return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "vectors": [x.tobytes()], "edges": [g.edges.tobytes()], "ids": [[i.tolist() for i in pdf["ids"]]]})
 
-    dealt = dealt.select("dim", "shard", "v", "ids", F.element_at("ids", 1).alias("first"))
+    total = sizes.agg(F.sum("shards")).first()[0] or 1
+    # A stated number of partitions, which adaptive execution leaves alone: building is far more work than its bytes tell.
+    dealt = dealt.select("dim", "shard", "v", "ids", F.element_at("ids", 1).alias("first")).repartition(min(4 * total, MOST_TASKS), "dim", "shard")
     return stored(dealt.groupBy("dim", "shard").applyInPandas(shard, "dim int, shard int, vectors binary, edges binary, ids array<array<long>>"))
 
 
