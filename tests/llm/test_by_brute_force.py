@@ -171,6 +171,18 @@ def test_quality_on_held_out_ratings(spark):
     assert (np.diff(model.thresholds) > 0).all() and got.expected_grade.between(0, 2).all()
 
 
+def test_toxic_ratings_are_told_in_every_language(spark):
+    sf = SF.replace("0.001", "0.1")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").join(labels.select("doc_id").distinct(), "doc_id")
+    model = quality_model.fit(docs, labels.where("doc_id % 4 <> 0"), F.expr(q.GRADE))
+    got = quality_model.score_documents(docs, model, 2).join(labels.where("doc_id % 4 = 0 AND quality = 1"), "doc_id").join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    kept = got.tail_probability >= 0.5
+    assert kept[got.toxic == 0].mean() > 0.98
+    for english in (True, False):
+        assert kept[(got.toxic == 1) & ((got.lang == "en") == english)].mean() < 0.4
+
+
 def test_ordinal_fit_recovers_order():
     rng = np.random.default_rng(0)
     x = rng.normal(size=600)
