@@ -2,9 +2,10 @@
 
 Only DataFrame functions are used. The corpus is summed up once to a table of cells (source, language, topic, or any other
 dimensions) with partial sums before the shuffle. Each round rescales the cells' shares of all tokens to the targets of one
-dimension after the other, by window sums over the small table of cells. A cell's fitted share is held to at most `most`
+dimension after the other, by window sums over the small table of cells, for a fixed number of rounds. A cell's fitted share is held to at most `most`
 times its actual one after each round, else a cell of few tokens with a large target would shrink the whole sample; the other
-cells of its values take over in the next round, as far as they can. A document is then kept with the probability
+cells of its values take over in the next round, as far as they can. A value of which there are too few tokens so stays below its
+target, and others above theirs: `achieved` and `marginals` say by how much. A document is then kept with the probability
 `p = r / max(r)`, where r is its cell's fitted share over its actual one: expected tokens are in the fitted proportions, no
 document is repeated, and the sample is as large as that allows. The draw is a hash of the id and a seed, so it does not
 depend on partitions or order.
@@ -64,6 +65,21 @@ def fit_cells(cells: DataFrame, targets: Targets, rounds: int = ROUNDS, most: fl
     return out.withColumn("probability", F.when(largest > 0, F.round(F.col("ratio") / largest, 9)).otherwise(F.lit(0.0))).select(*targets, "tokens", "share", "ratio", "probability")
 
 
+def marginals(cells: DataFrame, targets: Targets) -> DataFrame:
+    """What fitted cells come to: dimension, value, tokens, target, achieved (share of the expected sampled tokens), residual (achieved less target)."""
+    parts = []
+    for name, target in targets.items():
+        held = cells.groupBy(name).agg(F.sum("tokens").alias("tokens"), F.sum(F.col("tokens") * F.col("probability")).alias("e"))
+        held = held.withColumn("all", F.sum("e").over(Window.partitionBy())).join(_targets(cells, name, target), name, "left")
+        achieved = F.when(F.col("all") > 0, F.col("e") / F.col("all")).otherwise(F.lit(0.0))
+        goal = F.coalesce(F.col(f"target_{name}"), F.lit(0.0))
+        parts.append(held.select(F.lit(name).alias("dimension"), F.col(name).alias("value"), "tokens", goal.alias("target"), achieved.alias("achieved"), (achieved - goal).alias("residual")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def draw(key: Column, seed: int) -> Column:
     """A number in [0, 1) from 52 bits of a hash."""
     text = F.concat_ws(":", F.coalesce(key.cast("string"), F.lit(NONE)), F.lit(str(seed)))
@@ -90,6 +106,11 @@ def mixture(docs: DataFrame, n_tokens: Column, dims: dict[str, Column], targets:
     return out.select("doc_id", *(F.col(f"__{n}").alias(n) for n in targets), F.col("__tokens").alias("n_tokens"), "probability", sampled.alias("sampled"))
 
 
+def achieved(docs: DataFrame, n_tokens: Column, dims: dict[str, Column], targets: Targets, rounds: int = ROUNDS, most: float = MOST) -> DataFrame:
+    """The marginals of the mixture of docs, with their residuals."""
+    return marginals(_cells(_with_dims(docs, n_tokens, dims), targets, rounds, most), targets)
+
+
 def sample_mixture(docs: DataFrame, n_tokens: Column, dims: dict[str, Column], targets: Targets, rounds: int = ROUNDS, most: float = MOST, seed: int = 0, id_col: str = "doc_id") -> DataFrame:
     """The sampled rows of docs, with their columns."""
     rows = _with_dims(docs, n_tokens, dims)

@@ -102,6 +102,21 @@ def test_mixture_meets_its_targets(spark):
     assert sampled > 0.3
 
 
+def test_residuals_of_the_mixture_are_reported(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = q.QUERIES["op2_source_mixing"](spark, SF).toPandas()
+    rows["e"] = rows.n_tokens * rows.probability
+    got = {(r.dimension, r.value): r for r in mixing.achieved(docs, F.expr(q.N_WORDS), q.mixing_dims(), q.TARGETS).collect()}
+    for name in q.TARGETS:
+        share = (rows.groupby(name).e.sum() / rows.e.sum()).to_dict()
+        assert {v for d, v in got if d == name} == set(share)
+        assert all(abs(got[name, v].achieved - s) < 1e-6 and abs(got[name, v].achieved - got[name, v].target - got[name, v].residual) < 1e-9 for v, s in share.items())
+    few = spark.createDataFrame([("en", 900), ("es", 10), ("de", 90)], "lang string, tokens long")
+    targets = {"lang": {"en": 0.7, "es": 0.15, "de": 0.15}}
+    told = {r.value: r for r in mixing.marginals(mixing.fit_cells(few, targets), targets).collect()}
+    assert told["es"].residual < -0.12 and told["es"].target == 0.15 and sum(r.achieved for r in told.values()) == pytest.approx(1)
+
+
 def test_language_accuracy_on_held_out(spark):
     got = q.QUERIES["op3_language_id"](spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
     assert (got.lang == got.lang_pred).mean() > 0.85 and got.score.between(0, 1).all()
