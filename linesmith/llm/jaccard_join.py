@@ -41,7 +41,7 @@ _MOST_BITS = 1 << 16
 #: Sets, and tokens, in one block of a group under verification.
 BLOCK_SETS = 512
 BLOCK_TOKENS = 400_000
-#: The largest list of classes (40 bytes a row) that is broadcast to find their texts.
+#: The largest list of classes (60 bytes a row) that is broadcast to find their texts.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -110,16 +110,22 @@ def ordered(h: np.ndarray, level: np.ndarray) -> np.ndarray:
     return level[(h >> U(64 - SKETCH_BITS)).astype(np.int64)].astype(U) << U(58) | h >> U(6)
 
 
+def _marks(h: np.ndarray, first: np.ndarray) -> list[bytes | None]:
+    """128 bits that tell the sets of a block apart; none of empty sets."""
+    n = np.diff(first)
+    total = np.zeros((2, len(h) + 1), U)
+    np.cumsum(mix(h), out=total[0, 1:])
+    np.cumsum(mix(h ^ U(0x5851F42D4C957F2D)), out=total[1, 1:])
+    marks = [mix(total[i, first[1:]] - total[i, first[:-1]] + n.astype(U)) for i in (0, 1)]
+    mark = np.stack(marks, 1).astype("<u8").tobytes()
+    return [mark[16 * i : 16 * i + 16] if n[i] else None for i in range(len(n))]
+
+
 def _sets(k: int, percent: int, levels):
     def run(b: Block) -> pa.RecordBatch:
         level = levels.value
         h, first = shingles(b, k)
         n = np.diff(first)
-        total = np.zeros((2, len(h) + 1), U)
-        np.cumsum(mix(h), out=total[0, 1:])
-        np.cumsum(mix(h ^ U(0x5851F42D4C957F2D)), out=total[1, 1:])
-        marks = [mix(total[i, first[1:]] - total[i, first[:-1]] + n.astype(U)) for i in (0, 1)]
-        mark = np.stack(marks, 1).astype("<u8").tobytes()
         token = ordered(h, level)
         prefix = np.where(n > 0, n - needed(n, percent) + 1, 0)
         lists = []
@@ -129,7 +135,7 @@ def _sets(k: int, percent: int, levels):
             lists.append(np.sort(np.partition(own, p - 1)[:p] if p < len(own) else own))
         flat = np.concatenate([np.zeros(0, U), *lists]).view(np.int64)
         offsets = np.concatenate([[0], np.cumsum(prefix)]).astype(np.int32)
-        prints = [mark[16 * i : 16 * i + 16] if n[i] else None for i in range(b.n)]
+        prints = _marks(h, first)
         maps = [_bitmap(h[first[i] : first[i + 1]], 2 if percent >= 90 else 2.6) if n[i] else None for i in range(b.n)]
         return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(prints, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(maps, pa.binary())], ["doc_id", "n", "mark", "tokens", "bitmap"])
 
@@ -233,11 +239,14 @@ def _gather(percent: int):
 
 
 def _as_sets(k: int):
+    """The sets of texts, of those that have the mark of their class."""
+
     def run(b: Block) -> pa.RecordBatch:
         h, first = shingles(b, k)
         sets = [h[first[i] : first[i + 1]].tobytes() for i in range(b.n)]
         names = [x for x in b.batch.schema.names if x != "text"]
-        return pa.RecordBatch.from_arrays([*(b.column(x) for x in names), pa.array(sets, pa.binary())], [*names, "tokens"])
+        own = pa.array([m == c for m, c in zip(_marks(h, first), b.column("mark").to_pylist(), strict=True)], pa.bool_())
+        return pa.RecordBatch.from_arrays([*(b.column(x) for x in names), pa.array(sets, pa.binary())], [*names, "tokens"]).filter(own)
 
     return per_block(run, lower=True)
 
@@ -371,14 +380,22 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     near = components(lists.repartition("run").sortWithinPartitions("run", "n", "rep").mapInArrow(_gather(percent), "a long, b long"))
 
     roots = near.select("root").distinct().select(F.col("root").alias("u"), "root")
-    near = near.unionByName(roots).withColumnRenamed("u", "rep").join(classes.select("rep", "n", "size"), "rep")
+    near = near.unionByName(roots).withColumnRenamed("u", "rep").join(classes.select("rep", "mark", "n", "size"), "rep")
     near = stored(near)
     shape = near.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
     near = stored(near.join(shape, "root").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")))
-    wanted = near.select("root", "rep", "size", "blocks", "block")
-    # Five numbers per class go to every executor while they are few; beyond that, texts and classes are shuffled.
-    texts = rows.join(F.broadcast(wanted) if near.count() <= BROADCAST_ROWS else wanted, rows.doc_id == wanted.rep)
-    found = texts.select("root", "rep", "size", "blocks", "block", "text").mapInArrow(_as_sets(words), "root long, rep long, size long, blocks int, block int, tokens binary")
+    # A class is verified by one text; only those of rows that repeat id and set are shuffled to be reduced to one.
+    twice = whole.groupBy("doc_id", "mark").count().where("count > 1").select(F.col("doc_id").alias("rep"), "mark", F.lit(True).alias("again"))
+    near = stored(near.join(twice, ["rep", "mark"], "left"))
+    wanted = near.select("root", "rep", "mark", "again", "size", "blocks", "block")
+    # A few numbers per class go to every executor while they are few; beyond that, texts and classes are shuffled.
+    few = near.count() <= BROADCAST_ROWS
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        texts = rows.join(F.broadcast(some) if few else some, rows.doc_id == some.rep)
+        return texts.select("root", "rep", "mark", "size", "blocks", "block", "text").mapInArrow(_as_sets(words), "root long, rep long, mark binary, size long, blocks int, block int, tokens binary")
+
+    found = sets_of(wanted.where("again IS NULL")).unionByName(sets_of(wanted.where("again")).dropDuplicates(["rep", "mark"]))
     dealt = found.select("root", "rep", "size", "block", "tokens", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "size", "block", "tokens")
     checked = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "rep").mapInArrow(_verify(percent), "a long, b long, links long")

@@ -169,6 +169,14 @@ def test_join_finds_every_link(spark, words, percent, monkeypatch):
     assert got == {i: (len(sets[i]), root[i], len(links[i])) for i in range(len(texts))}
 
 
+def test_repeated_rows_count_once_each(spark):
+    base = [f"w{i}" for i in range(80)]
+    near, other = " ".join([*base, "x"]), " ".join([*base, "y"])
+    docs = spark.createDataFrame([(7, near)] * 2 + [(8, other)] + [(3, near.upper() + " end")] * 3 + [(9, "quite another text")] * 2, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.jaccard_join(docs, 3, 90).collect())
+    assert got == [(3, 80, 3, 5)] * 3 + [(7, 79, 3, 5)] * 2 + [(8, 79, 3, 5)] + [(9, 1, 9, 1)] * 2
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(200, 100), (100, 150)], "a long, b long")
     got = {r.u: r.root for r in components(edges).collect()}
