@@ -100,6 +100,8 @@ VIEWS: dict[str, str] = {
           unspsc AS unspsc_label, CASE WHEN line_id % 3 = 0 THEN left(unspsc, 6) || '99' WHEN line_id % 3 = 1 THEN '40111111' ELSE unspsc END AS unspsc_pred, (line_id * 7) % 101 AS unspsc_conf
         FROM {invoice_lines} WHERE kind < 4""",
 }
+#: The training rows with their whole texts.
+VIEWS["classifier_texts"] = VIEWS["classifier_training"].replace("left(text, 200)", "text")
 _NAME = re.compile(r"\{(\w+)\}")
 
 

@@ -21,3 +21,11 @@ def test_accents_are_removed_from_whole_texts(spark):
     got = registry.QUERIES["p08_remove_accents"](spark, SF).toPandas()
     assert sorted(zip(got.doc_id, got.plain)) == sorted(zip(docs.doc_id, docs.text.map(plain_accents)))
     assert (got.plain.str.len() > 250).any()
+
+
+def test_training_rows_keep_whole_texts(spark):
+    docs = pd.read_parquet(f"{SF}/documents.parquet").set_index("doc_id").text
+    got = registry.QUERIES["r02_r03_prepared"](spark, SF).toPandas()
+    assert not got.text.duplicated().any() and (got.text.str.len() > 250).any()
+    words = lambda t: re.findall("[a-z]+", t.lower())
+    assert all(words(t)[-1:] == words(docs[u])[-1:] for u, t in zip(got.uid, got.text) if docs[u].isascii())
