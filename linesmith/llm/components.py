@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import Scratch
 
 MOST_ROUNDS = 60
 
@@ -22,7 +22,8 @@ def components(edges: DataFrame) -> DataFrame:
     aggregated key, which has one row per node on that side, so the links of a hub can be split over tasks.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
-    e = stored(e)
+    scratch = Scratch(edges.sparkSession)
+    e = scratch.stored(e)
     before = _state(e)
     for _ in range(MOST_ROUNDS):
         if not before[0]:
@@ -30,11 +31,12 @@ def components(edges: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stored(large)
+        large = scratch.stored(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        after = _state(e)
+        now = scratch.stored(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        scratch.drop(e, large)
+        e, after = now, _state(now)
         if after == before:
             break
         before = after
