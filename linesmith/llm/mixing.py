@@ -2,13 +2,15 @@
 
 Only DataFrame functions are used. The corpus is summed up once to a table of cells (source, language, topic, or any other
 dimensions) with partial sums before the shuffle. Each round rescales the cells' shares of all tokens to the targets of one
-dimension after the other, by window sums over the small table of cells, for a fixed number of rounds. A cell's fitted share is held to at most `most`
-times its actual one after each round, else a cell of few tokens with a large target would shrink the whole sample; the other
-cells of its values take over in the next round, as far as they can. A value of which there are too few tokens so stays below its
-target, and others above theirs: `achieved` and `marginals` say by how much. A document is then kept with the probability
-`p = r / max(r)`, where r is its cell's fitted share over its actual one: expected tokens are in the fitted proportions, no
-document is repeated, and the sample is as large as that allows. The draw is a hash of the id and a seed, so it does not
-depend on partitions or order.
+dimension after the other, until every marginal meets its target to `TOLERANCE` or `rounds` are over. A document is then kept
+with the probability `p = r / max(r)`, where r is its cell's fitted share over its actual one: expected tokens are in the fitted
+proportions, no document is repeated, and the sample is as large as that allows. The draw is a hash of the id and a seed, so it
+does not depend on partitions or order.
+
+As nothing is repeated, a value reaches a share of `most` times its actual one only if all else is thinned to a `most`th. A
+larger target counts as infeasible: it is held to that share before the fitting, and what is cut goes to the other values of
+the dimension in proportion to their targets. `achieved` and `marginals` report the target asked for, the one held to, what
+the sample comes to, and the residual; they also show where targets of several dimensions contradict each other.
 
 Targets, by dimension: a number t takes the observed shares to the power of t (1 keeps them, 0 makes them equal); a dict gives
 the shares of values (scaled to those that occur; values not in it get the share 0).
@@ -26,54 +28,85 @@ from pyspark.sql import functions as F
 
 from .shared import stored
 
-ROUNDS = 10
-#: The largest ratio of fitted to actual share.
-MOST = 2.0
+ROUNDS = 40
+#: The largest distance of a marginal from its target at which the fit has converged.
+TOLERANCE = 1e-14
+#: The largest feasible ratio of a value's target to its actual share.
+MOST = 4.0
+#: Rounds in which what is cut of infeasible targets is dealt to the others, at most.
+HOLDS = 12
+#: Rounds of one plan; the cells are stored between plans.
+_AT_ONCE = 5
 NONE = "(none)"
 Targets = dict[str, float | dict[str, float]]
 
 
-def _targets(cells: DataFrame, name: str, target: float | dict[str, float]) -> DataFrame:
-    """The values of a dimension with their target shares."""
-    total = cells.groupBy(name).agg(F.sum("tokens").alias("m")).where("m > 0")
+def _targets(cells: DataFrame, name: str, target: float | dict[str, float], most: float) -> DataFrame:
+    """The values of a dimension with their target shares (asked_) and what these are held to (target_)."""
+    values = cells.groupBy(name).agg(F.sum("tokens").alias("m")).where("m > 0")
     if isinstance(target, dict):
         raw = F.lit(0.0)
         for value, share in target.items():
             raw = F.when(F.col(name) == value, F.lit(float(share))).otherwise(raw)
     else:
         raw = F.pow(F.col("m").cast("double"), F.lit(float(target)))
-    out = total.withColumn("raw", raw)
-    return out.select(name, (F.col("raw") / F.sum("raw").over(Window.partitionBy())).alias(f"target_{name}"))
+    values = stored(values.withColumn("raw", raw))
+    # Sums over all values are single numbers, so no task has to hold the values of a dimension together.
+    total, weight = values.agg(F.sum("m").cast("double"), F.sum("raw")).first()
+    asked, bound = F.col("raw") / F.lit(weight or 1.0), F.col("m") / F.lit(total or 1.0) * F.lit(float(most))
+    values = values.select(name, asked.alias("asked"), bound.alias("bound"))
+    scale = 1.0
+    for _ in range(HOLDS):
+        over = F.col("asked") * F.lit(scale) > F.col("bound")
+        cut, free = values.agg(F.coalesce(F.sum(F.when(over, F.col("bound"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~over, F.col("asked"))), F.lit(0.0))).first()
+        before, scale = scale, (1 - cut) / free if free > 0 else scale
+        if scale == before:
+            break
+    held = F.least(F.col("asked") * F.lit(scale), F.col("bound"))
+    return values.select(name, F.col("asked").alias(f"asked_{name}"), held.alias(f"target_{name}"))
+
+
+def _off(cells: DataFrame, targets: Targets) -> float:
+    """The largest distance of a marginal from its target."""
+    worst = 0.0
+    for name in targets:
+        by_value = cells.groupBy(name).agg(F.abs(F.sum("share") - F.max(f"target_{name}")).alias("off"))
+        worst = max(worst, by_value.agg(F.max("off")).first()[0] or 0.0)
+    return worst
 
 
 def fit_cells(cells: DataFrame, targets: Targets, rounds: int = ROUNDS, most: float = MOST) -> DataFrame:
-    """cells (the dimensions and tokens) with share (fitted), ratio (fitted over actual) and probability."""
+    """cells (the dimensions and tokens) with share (fitted), ratio (fitted over actual), probability, and the targets by dimension (asked_ and target_)."""
+    total = cells.agg(F.sum("tokens").cast("double")).first()[0] or 1.0
     out = cells
     for name, target in targets.items():
-        out = out.join(_targets(cells, name, target), name, "left")
-    out = out.select(*targets, "tokens", *(F.coalesce(f"target_{n}", F.lit(0.0)).alias(f"target_{n}") for n in targets))
-    out = out.withColumn("actual", F.col("tokens") / F.sum("tokens").over(Window.partitionBy()))
-    out = stored(out.withColumn("share", F.col("actual")))
-    for _ in range(rounds):
-        for name in targets:
-            total = F.sum("share").over(Window.partitionBy(name))
-            out = out.withColumn("share", F.when(F.col("share") > 0, F.col("share") * F.col(f"target_{name}") / total).otherwise(F.lit(0.0)))
-        out = out.withColumn("share", F.least("share", F.col("actual") * most))
-    everything = Window.partitionBy()
-    out = out.withColumn("ratio", F.when(F.col("tokens") > 0, F.col("share") * F.sum("tokens").over(everything) / F.col("tokens")).otherwise(F.lit(0.0)))
-    largest = F.max("ratio").over(everything)
-    return out.withColumn("probability", F.when(largest > 0, F.round(F.col("ratio") / largest, 9)).otherwise(F.lit(0.0))).select(*targets, "tokens", "share", "ratio", "probability")
+        out = out.join(_targets(cells, name, target, most), name, "left")
+    goals = [F.coalesce(f"{kind}_{n}", F.lit(0.0)).alias(f"{kind}_{n}") for n in targets for kind in ("asked", "target")]
+    out = stored(out.select(*targets, "tokens", *goals, (F.col("tokens") / F.lit(total)).alias("share")))
+    done = 0
+    while done < rounds:
+        for _ in range(min(_AT_ONCE, rounds - done)):
+            for name in targets:
+                own = F.sum("share").over(Window.partitionBy(name))
+                out = out.withColumn("share", F.when(F.col("share") > 0, F.col("share") * F.col(f"target_{name}") / own).otherwise(F.lit(0.0)))
+            done += 1
+        out = stored(out)
+        if _off(out, targets) < TOLERANCE:
+            break
+    out = out.withColumn("ratio", F.when(F.col("tokens") > 0, F.col("share") * F.lit(total) / F.col("tokens")).otherwise(F.lit(0.0)))
+    largest = out.agg(F.max("ratio")).first()[0]
+    probability = F.round(F.col("ratio") / F.lit(largest), 9) if largest else F.lit(0.0)
+    return out.withColumn("probability", probability)
 
 
 def marginals(cells: DataFrame, targets: Targets) -> DataFrame:
-    """What fitted cells come to: dimension, value, tokens, target, achieved (share of the expected sampled tokens), residual (achieved less target)."""
+    """What fitted cells come to: dimension, value, tokens, asked (the target), target (what it is held to), achieved (share of the expected sampled tokens), residual (achieved less asked)."""
+    whole = cells.agg(F.sum(F.col("tokens") * F.col("probability"))).first()[0]
     parts = []
-    for name, target in targets.items():
-        held = cells.groupBy(name).agg(F.sum("tokens").alias("tokens"), F.sum(F.col("tokens") * F.col("probability")).alias("e"))
-        held = held.withColumn("all", F.sum("e").over(Window.partitionBy())).join(_targets(cells, name, target), name, "left")
-        achieved = F.when(F.col("all") > 0, F.col("e") / F.col("all")).otherwise(F.lit(0.0))
-        goal = F.coalesce(F.col(f"target_{name}"), F.lit(0.0))
-        parts.append(held.select(F.lit(name).alias("dimension"), F.col(name).alias("value"), "tokens", goal.alias("target"), achieved.alias("achieved"), (achieved - goal).alias("residual")))
+    for name in targets:
+        expected = F.sum(F.col("tokens") * F.col("probability")) / F.lit(whole) if whole else F.lit(0.0)
+        held = cells.groupBy(name).agg(F.sum("tokens").alias("tokens"), F.max(f"asked_{name}").alias("asked"), F.max(f"target_{name}").alias("target"), expected.alias("achieved"))
+        parts.append(held.select(F.lit(name).alias("dimension"), F.col(name).alias("value"), "tokens", "asked", "target", "achieved", (F.col("achieved") - F.col("asked")).alias("residual")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

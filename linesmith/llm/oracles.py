@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from .language import TOP
-from .mixing import MOST, ROUNDS
+from .mixing import HOLDS, MOST, ROUNDS
 from .quality_rules import POLICIES, RULES
 from .secrets import ADDED, BASE
 
@@ -76,12 +76,15 @@ def _op2(rounds: int, topic: str, targets: dict, seed: int = 0) -> str:
             new = f"w{i}_{name}"
             steps.append(f"{new} AS (SELECT * REPLACE (CASE WHEN share > 0 THEN share * t_{name} / sum(share) OVER (PARTITION BY {name}) ELSE 0.0 END AS share) FROM {last})")
             last = new
-        steps.append(f"w{i} AS (SELECT * REPLACE (least(share, actual * {MOST}) AS share) FROM {last})")
-        last = f"w{i}"
     goals = []
     for name, target in targets.items():
         raw = "CASE " + " ".join(f"WHEN {name} = '{v}' THEN CAST({x} AS DOUBLE)" for v, x in target.items()) + " ELSE 0.0 END" if isinstance(target, dict) else f"pow(CAST(m AS DOUBLE), {target})"
-        goals.append(f"g_{name} AS (SELECT {name}, raw / sum(raw) OVER () AS t_{name} FROM (SELECT {name}, {raw} AS raw FROM (SELECT {name}, sum(tokens) AS m FROM cells GROUP BY {name}) WHERE m > 0))")
+        goals.append(f"h0_{name} AS (SELECT {name}, raw / sum(raw) OVER () AS asked, m / CAST(sum(m) OVER () AS DOUBLE) * {MOST} AS bound, CAST(1 AS DOUBLE) AS scale FROM (SELECT {name}, {raw} AS raw, m FROM (SELECT {name}, sum(tokens) AS m FROM cells GROUP BY {name}) WHERE m > 0))")
+        for i in range(HOLDS):
+            free = "sum(CASE WHEN asked * scale <= bound THEN asked ELSE 0.0 END) OVER ()"
+            cut = "sum(CASE WHEN asked * scale > bound THEN bound ELSE 0.0 END) OVER ()"
+            goals.append(f"h{i + 1}_{name} AS (SELECT * REPLACE (CASE WHEN {free} > 0 THEN (1 - {cut}) / {free} ELSE scale END AS scale) FROM h{i}_{name})")
+        goals.append(f"g_{name} AS (SELECT {name}, least(asked * scale, bound) AS t_{name} FROM h{HOLDS}_{name})")
     names = ", ".join(targets)
     return rf"""
 WITH d AS (
