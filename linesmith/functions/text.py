@@ -69,22 +69,39 @@ def scrub_part_number(c: Column) -> Column:
     return F.translate(c, "-/='\"| ", "")
 
 
-def _accents() -> tuple[str, str]:
-    pairs = []
-    for code in range(0xC0, 0x250):
-        base = unicodedata.normalize("NFKD", chr(code))[0]
-        if base.isascii() and base != chr(code):
-            pairs.append((chr(code), base))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+# Letters that do not decompose, and how they are spelled out.
+SPELLED_OUT = {"ß": "ss", "æ": "ae", "Æ": "AE", "ø": "o", "Ø": "O", "þ": "th", "Þ": "Th", "ð": "d", "Ð": "D"}
 
 
-_FROM, _TO = _accents()
+def _plain(ch: str) -> str:
+    """A character's compatibility decomposition, spelled out, as far as it is ASCII."""
+    return "".join(x for y in unicodedata.normalize("NFKD", ch) for x in SPELLED_OUT.get(y, y) if x.isascii())
+
+
+def _decompositions() -> tuple[str, str, dict[str, str]]:
+    """All characters that become one ASCII character, these, and those that become several."""
+    single, several = [], {}
+    for code in range(0x80, 0x110000):
+        ch = chr(code)
+        if 0xD800 <= code < 0xE000 or not (unicodedata.decomposition(ch) or ch in SPELLED_OUT):
+            continue
+        plain = _plain(ch)
+        if len(plain) == 1:
+            single.append((ch, plain))
+        elif plain:
+            several[ch] = plain
+    return "".join(a for a, _ in single), "".join(b for _, b in single), several
+
+
+_FROM, _TO, _SEVERAL = _decompositions()
 
 
 def remove_accents(c: Column) -> Column:
-    """Latin letters without their marks; letters that decompose to nothing plain are spelled out, the rest of non-ASCII is dropped."""
-    for a, b in (("ß", "ss"), ("æ", "ae"), ("Æ", "AE"), ("ø", "o"), ("Ø", "O"), ("þ", "th"), ("Þ", "TH"), ("ð", "d"), ("Ð", "D")):
-        c = F.replace(c, F.lit(a), F.lit(b))
+    """Characters without their marks, in compatibility form; some letters are spelled out, what is not ASCII then is dropped."""
+    # Characters that become several are looked up one by one, in the few texts that hold any.
+    table = F.create_map(*(F.lit(x) for pair in _SEVERAL.items() for x in pair))
+    spelled = F.array_join(F.transform(F.split(c, ""), lambda ch: F.coalesce(table[ch], ch)), "")
+    c = F.when(F.rlike(c, F.lit("[" + "".join(_SEVERAL) + "]")), spelled).otherwise(c)
     return F.regexp_replace(F.translate(c, _FROM, _TO), r"[^\x00-\x7F]", "")
 
 
@@ -211,14 +228,15 @@ def part_points(length: Column) -> Column:
 
 
 # Points for the words in which a searched result is compared with the request.
-MFR_WORDS = {"exact": 40, "equivalent": 30, "related": 20, "not specified": 0, "no match": -10}
-PART_WORDS = {"exact": 25, "equivalent": 20, "partial": 15, "not specified": 5, "no match": 0}
-DESCR_WORDS = {"exact": 25, "equivalent": 20, "partial": 15, "not specified": 5, "no match": 0}
+MFR_WORDS = {"Exact": 40, "Likely": 30, "Possible": 20, "Not Detected": 0, "Mismatch": -10}
+PART_WORDS = {"Exact": 25, "Strong": 20, "Partial": 15, "Possible": 5, "No Match": 0}
+DESCR_WORDS = {"Exact": 25, "Very High": 20, "High": 15, "Medium": 5, "Low": 0}
 
 
 def word_points(c: Column, points: dict[str, int]) -> Column:
+    """The points of a word as it is spelled; any other word, and null, count 0."""
     table = F.create_map(*(F.lit(x) for pair in points.items() for x in pair))
-    return F.coalesce(table[F.lower(F.trim(c))], F.lit(0))
+    return F.coalesce(table[c], F.lit(0))
 
 
 def rental_label(name: Column, flag: Column) -> Column:

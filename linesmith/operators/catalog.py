@@ -77,18 +77,51 @@ def prefer_primary(primary: DataFrame, secondary: DataFrame, key: str) -> DataFr
     return primary.unionByName(secondary.join(primary, key, "left_anti"))
 
 
-def category_paths(categories: DataFrame, depth: int = 8) -> DataFrame:
-    """category_id, root and path of every category, from the roots (without parent, or with an unknown one) down to `depth` levels."""
+def category_paths(categories: DataFrame) -> DataFrame:
+    """category_id, root, path and depth of every category, level by level from the roots (without parent, or with an unknown one).
+
+    There are as many rounds as levels; each is stored, so that the plan stays small. A ring of categories has no root, so none
+    of it is reached.
+    """
     known = categories.select(F.col("category_id").alias("parent_id")).distinct()
-    level = categories.join(known, "parent_id", "left_anti").select("category_id", F.col("category_id").alias("root"), F.col("category_name").alias("path"), F.lit(1).alias("depth"))
+    level = stored(categories.join(known, "parent_id", "left_anti").select("category_id", F.col("category_id").alias("root"), F.col("category_name").alias("path"), F.lit(1).alias("depth")))
+    out = level
+    while not level.isEmpty():
+        up = level.select(F.col("category_id").alias("parent_id"), "root", F.col("path").alias("__up"), F.col("depth").alias("__depth"))
+        level = stored(categories.join(up, "parent_id").select("category_id", "root", F.concat_ws(" > ", "__up", "category_name").alias("path"), (F.col("__depth") + 1).alias("depth")))
+        out = out.unionByName(level)
+    return out
+
+
+def descendants(categories: DataFrame) -> DataFrame:
+    """parent_id and category_id for every category and each of its descendants, at any depth."""
+    step = categories.where("parent_id IS NOT NULL").select("parent_id", "category_id")
+    level = stored(step)
     out = level
-    for d in range(2, depth + 1):
-        up = level.select(F.col("category_id").alias("parent_id"), "root", F.col("path").alias("__up"))
-        level = categories.join(up, "parent_id").select("category_id", "root", F.concat_ws(" > ", "__up", "category_name").alias("path"), F.lit(d).alias("depth"))
+    while not level.isEmpty():
+        below = step.select(F.col("parent_id").alias("__at"), F.col("category_id").alias("__below"))
+        level = stored(level.join(below, F.col("category_id") == F.col("__at")).select("parent_id", F.col("__below").alias("category_id")))
+        if not level.where("parent_id = category_id").isEmpty():
+            raise ValueError("the categories form a ring")
         out = out.unionByName(level)
     return out
 
 
+def category_ids(names: DataFrame, categories: DataFrame) -> DataFrame:
+    """names (category_name, parent_name) with category_id: of a category without parent if parent_name is null, else of one below
+    the parent of that name (the first by id, as the id of equal names too); null if there is none. Case does not count."""
+    c = categories.select(F.upper("category_name").alias("__name"), "category_id", "parent_id")
+    parents = c.groupBy(F.col("__name").alias("__parent")).agg(F.min("category_id").alias("__pid"))
+    keyed = c.groupBy("__name", F.coalesce("parent_id", F.lit("")).alias("__under")).agg(F.min("category_id").alias("category_id"))
+    asked = names.join(parents, F.upper("parent_name") == F.col("__parent"), "left").withColumn("__at", F.when(F.col("parent_name").isNull(), "").otherwise(F.col("__pid")))
+    return asked.join(keyed, (F.upper("category_name") == F.col("__name")) & (F.col("__at") == F.col("__under")), "left").select(*names.columns, "category_id")
+
+
+def bad_parent(parent: Column) -> Column:
+    """The id under which the store keeps subcategories of BAD (6): 6, a dot and the additional parent."""
+    return F.concat(F.lit("6."), parent)
+
+
 def requeued(jobs: DataFrame, failed_logs: DataFrame) -> DataFrame:
     """The newest job of each line whose log failed, pending again."""
     wanted = failed_logs.select(X.job_id(F.col("id")).alias("id"))
@@ -109,8 +142,14 @@ def request_progress(jobs: DataFrame) -> DataFrame:
 
 
 def duplicate_lines(lines: DataFrame, keys: list[str], key: str = "line_id") -> DataFrame:
-    """Groups of lines that agree in all keys (nulls agree), with their ids in order; a group of one has no others."""
-    return lines.groupBy(*keys).agg(F.array_sort(F.collect_list(key)).alias("ids")).withColumn("others", F.size("ids") - 1)
+    """Every line with the first line that agrees with it in all keys (nulls agree) and how many others do.
+
+    Groups can be large, so their lines stay rows: sizes are summed up before the shuffle and joined back.
+    """
+    made = {f"__{k}": F.coalesce(F.col(k).cast("string"), F.lit("\0")) for k in keys}
+    rows = lines.select(key, *keys).withColumns(made)
+    groups = rows.groupBy(*made).agg(F.min(key).alias("first_line"), (F.count(F.lit(1)) - 1).alias("others"))
+    return rows.join(groups, [*made]).select(key, *keys, "first_line", "others")
 
 
 def byte_budget(rows: DataFrame, size: Column, order: list[str], budget: int, parts: int = 64) -> DataFrame:

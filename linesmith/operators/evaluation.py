@@ -62,7 +62,14 @@ def macro_gate(report: DataFrame, least: float, current: float) -> DataFrame:
     return m.withColumn("passed", (F.col("macro_f1") >= least) & (F.col("macro_f1") >= current))
 
 
-def binary_report(rows: DataFrame, truth: Column, pred: Column, key: str) -> DataFrame:
-    """Counts of a binary decision with the number of false ones and the smallest and largest id among them."""
-    fp, fn = ~truth & pred, truth & ~pred
-    return rows.agg(F.count_if(truth & pred).alias("tp"), F.count_if(~truth & ~pred).alias("tn"), F.count_if(fp).alias("fp"), F.count_if(fn).alias("fn"), F.min(F.when(fp, F.col(key))).alias("first_fp"), F.max(F.when(fn, F.col(key))).alias("last_fn"))
+def binary_report(rows: DataFrame, truth: Column, pred: Column) -> DataFrame:
+    """Counts of a binary decision and its ratios (0 where there is nothing to divide by)."""
+    counts = rows.agg(*(F.count_if(c).alias(n) for n, c in (("tp", truth & pred), ("tn", ~truth & ~pred), ("fp", ~truth & pred), ("fn", truth & ~pred))))
+    tp, tn, fp, fn = (F.col(c) for c in ("tp", "tn", "fp", "fn"))
+    ratio = lambda n, d: F.when(d > 0, n / d).otherwise(0.0)
+    return counts.withColumns({"precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn), "accuracy": ratio(tp + tn, tp + tn + fp + fn)})
+
+
+def false_ids(rows: DataFrame, truth: Column, pred: Column, key: str) -> DataFrame:
+    """The ids of all false decisions, one row each: kind is fp or fn."""
+    return rows.where(truth != pred).select(key, F.when(pred, "fp").otherwise("fn").alias("kind"))

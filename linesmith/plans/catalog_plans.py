@@ -71,15 +71,24 @@ def j07_clean_names(t: Fixtures) -> DataFrame:
     return C.clean_names(t.items, C.manufacturer_dictionary(t.manufacturers), "mfr_name").select("item_id", "clean_name", "was_cleaned")
 
 
-_OWN = "SELECT DISTINCT clean_name AS n, parent_name AS p FROM manufacturers UNION ALL SELECT DISTINCT parent_name, CAST(NULL AS STRING) FROM manufacturers WHERE parent_name IS NOT NULL"
+_RELATION = "CASE WHEN a = b THEN 'DIRECT' WHEN ap = b THEN 'PARENT' WHEN a = bp THEN 'CHILD' WHEN ap = bp THEN 'SIBLING' ELSE 'NOT_EQUIVALENT' END"
 
 
-@P.query("manufacturers", sql=f", o AS ({_OWN}) SELECT a.n AS a, b.n AS b, CASE WHEN a.n = b.n THEN 'DIRECT' WHEN a.p = b.n THEN 'PARENT' WHEN a.n = b.p THEN 'CHILD' WHEN a.p = b.p THEN 'SIBLING' ELSE 'NOT_EQUIVALENT' END AS relation FROM o a JOIN o b ON left(a.n, 4) <= left(b.n, 4)")
+@P.query(
+    "items", "manufacturers",
+    sql=f""", o AS (SELECT item_id, clean_name AS n, parent_name AS p FROM items JOIN manufacturers ON unclean_name = mfr_name),
+      q AS (SELECT x.item_id, 'next' AS what, x.n AS a, y.n AS b, x.p AS ap, y.p AS bp FROM o x JOIN o y ON y.item_id = x.item_id + 1
+        UNION ALL SELECT x.item_id, 'owner of next', x.n, y.p, x.p, NULL FROM o x JOIN o y ON y.item_id = x.item_id + 1 UNION ALL SELECT x.item_id, 'owner', x.p, y.n, NULL, y.p FROM o x JOIN o y ON y.item_id = x.item_id + 1)
+      SELECT item_id, what, a, b, {_RELATION} AS relation FROM q""",
+)
 def j08_relationships(t: Fixtures) -> DataFrame:
-    m = t.manufacturers
-    own = m.select(F.col("clean_name").alias("n"), F.col("parent_name").alias("p")).distinct().unionByName(m.where("parent_name IS NOT NULL").select(F.col("parent_name").alias("n"), F.lit(None).cast("string").alias("p")).distinct())
-    pairs = own.alias("a").join(F.broadcast(own.alias("b")), F.left("a.n", F.lit(4)) <= F.left("b.n", F.lit(4)))
-    return pairs.select(F.col("a.n").alias("a"), F.col("b.n").alias("b"), C.relationship(F.col("a.n"), F.col("b.n"), F.col("a.p"), F.col("b.p")).alias("relation"))
+    """The manufacturer of every item, and its owner, against those of the next item."""
+    own = t.items.join(t.manufacturers, F.col("mfr_name") == F.col("unclean_name")).select("item_id", F.col("clean_name").alias("n"), F.col("parent_name").alias("p"))
+    both = own.join(own.select((F.col("item_id") - 1).alias("item_id"), F.col("n").alias("m"), F.col("p").alias("q")), "item_id")
+    none = F.lit(None).cast("string")
+    pair = lambda what, a, b, ap, bp: F.struct(F.lit(what).alias("what"), a.alias("a"), b.alias("b"), C.relationship(a, b, ap, bp).alias("relation"))
+    n, p, m, q = (F.col(c) for c in "npmq")
+    return both.select("item_id", F.explode(F.array(pair("next", n, m, p, q), pair("owner of next", n, q, p, none), pair("owner", p, m, none, q))).alias("r")).select("item_id", "r.*")
 
 
 _DIFF = """, src AS (SELECT item_id, desc_id, day_no AS item_modified, day_no AS desc_modified FROM item_descriptions),
@@ -140,12 +149,25 @@ def j15_category_paths(t: Fixtures) -> DataFrame:
     return C.category_paths(t.categories)
 
 
-_CASES = "CASE WHEN category_id = '1.2' THEN 'lot' WHEN category_id = '1.1' THEN 'generic' ELSE 'default' END"
+@P.query("categories", sql=", d(parent_id, category_id) AS (SELECT parent_id, category_id FROM categories WHERE parent_id IS NOT NULL UNION ALL SELECT d.parent_id, c.category_id FROM d JOIN categories c ON c.parent_id = d.category_id) SELECT * FROM d")
+def j15_descendants(t: Fixtures) -> DataFrame:
+    return C.descendants(t.categories)
+
+
+_ASKED = "SELECT DISTINCT lower(c.category_name) AS category_name, p.category_name AS parent_name FROM {categories} c LEFT JOIN {categories} p ON p.category_id = c.parent_id UNION ALL SELECT 'material', 'BAD' UNION ALL SELECT 'LOT', NULL"
+
+
+@P.query("categories", sql=f", a AS ({_ASKED.format(categories='categories')}) SELECT category_name, parent_name, (SELECT min(c.category_id) FROM categories c WHERE upper(c.category_name) = upper(a.category_name) AND CASE WHEN a.parent_name IS NULL THEN c.parent_id IS NULL ELSE c.parent_id = (SELECT min(p.category_id) FROM categories p WHERE upper(p.category_name) = upper(a.parent_name)) END) AS category_id FROM a")
+def j15_category_ids(t: Fixtures) -> DataFrame:
+    return C.category_ids(t.spark.sql(_ASKED, categories=t.categories), t.categories)
+
+
+_CASES = "CASE WHEN category_id = '1.2' THEN 'generic' WHEN category_id = '1.1' THEN 'lot' ELSE 'default' END"
 
 
 @P.query(
     "invoice_lines",
-    sql=f"SELECT line_id, {_CASES} AS route, CASE {_CASES} WHEN 'lot' THEN 'SEMANTIC,TUNED,WEB' WHEN 'generic' THEN 'CLASSIFY,SEMANTIC,COMPLETE' ELSE 'CLASSIFY,SEMANTIC,COMPLETE,TUNED,WEB' END AS stages, CASE {_CASES} WHEN 'lot' THEN 'mfr,unspsc' WHEN 'generic' THEN 'mfr' ELSE 'mfr,part,unspsc' END AS fields FROM invoice_lines",
+    sql=f"SELECT line_id, {_CASES} AS route, CASE {_CASES} WHEN 'generic' THEN 'SEMANTIC,VALIDATOR,TUNED,WEB' WHEN 'lot' THEN 'SEMANTIC,COMPLETE' ELSE 'CLASSIFY,SEMANTIC,COMPLETE,VALIDATOR,TUNED,WEB' END AS stages, CASE {_CASES} WHEN 'generic' THEN 'mfr,unspsc' WHEN 'lot' THEN 'mfr' ELSE 'mfr,part,unspsc' END AS fields FROM invoice_lines",
 )
 def j16_special_cases(t: Fixtures) -> DataFrame:
     from linesmith.operators.cascade import route
@@ -165,10 +187,9 @@ def u02_set_difference(t: Fixtures) -> DataFrame:
     return t.jobs.where("status = 'error'").select("request_id").subtract(t.jobs.where("retry_count = 6 AND status = 'done'").select("request_id"))
 
 
-@P.query("invoice_lines", sql="SELECT description, mfr_name, mfr_part_num, invoice_num, string_agg(line_id, ',' ORDER BY line_id) AS ids, count(*) - 1 AS others FROM invoice_lines GROUP BY ALL")
+@P.query("invoice_lines", sql="SELECT line_id, description, mfr_name, mfr_part_num, invoice_num, min(line_id) OVER w AS first_line, count(*) OVER w - 1 AS others FROM invoice_lines WINDOW w AS (PARTITION BY description, mfr_name, mfr_part_num, invoice_num)")
 def a01_duplicate_lines(t: Fixtures) -> DataFrame:
-    g = C.duplicate_lines(t.invoice_lines, ["description", "mfr_name", "mfr_part_num", "invoice_num"])
-    return g.withColumn("ids", F.array_join("ids", ","))
+    return C.duplicate_lines(t.invoice_lines, ["description", "mfr_name", "mfr_part_num", "invoice_num"])
 
 
 @P.query(

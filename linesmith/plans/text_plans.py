@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from linesmith.functions import text as T
 from linesmith.sources.fixtures import Fixtures
 
+from linesmith.operators.matching import texts_with
+
 from .base import Plans
 
 P = Plans()
@@ -44,7 +46,7 @@ def p05_p06_p07_p09_p10_keys(t: Fixtures) -> DataFrame:
 
 
 @P.query(
-    sql="""SELECT doc_id, regexp_replace(strip_accents(replace(replace(replace(replace(replace(left(text, 200), 'ß', 'ss'), 'æ', 'ae'), 'ø', 'o'), 'þ', 'th'), 'ð', 'd')), '[^\\x00-\\x7F]', '', 'g') AS plain FROM documents""".replace("\\\\", "\\"),
+    sql="""SELECT doc_id, regexp_replace(strip_accents(replace(replace(replace(replace(replace(text, 'ß', 'ss'), 'æ', 'ae'), 'ø', 'o'), 'þ', 'th'), 'ð', 'd')), '[^\\x00-\\x7F]', '', 'g') AS plain FROM documents""".replace("\\\\", "\\"),
 )
 def p08_remove_accents(t: Fixtures) -> DataFrame:
     return t.documents.select("doc_id", T.remove_accents(F.col("text")).alias("plain"))
@@ -113,11 +115,11 @@ _PHRASE = r"array_to_string(regexp_extract_all(unclean_name, '\w+'), '[\W_]+')"
       FROM (SELECT *, CASE WHEN pos > 1 THEN substr(description, CAST(pos - 1 AS BIGINT), 1) ELSE '' END AS b, substr(description, CAST(pos + length(hit) AS BIGINT), 1) AS a FROM (
         SELECT *, CASE WHEN hit = '' THEN 0 ELSE instr(description, hit) END AS pos FROM (
           SELECT description, unclean_name, regexp_extract(description, '(?i)' || {_PHRASE}) AS hit
-          FROM (SELECT DISTINCT description FROM invoice_lines WHERE kind IN (0, 3, 4)) JOIN manufacturers m ON contains(description, m.unclean_name))))""",
+          FROM (SELECT DISTINCT description FROM invoice_lines) JOIN manufacturers m ON contains(description, m.unclean_name))))""",
 )
 def p19_p20_p21_names_in_text(t: Fixtures) -> DataFrame:
     texts = t.invoice_lines.select("description").distinct()
-    pairs = texts.join(F.broadcast(t.manufacturers.select("unclean_name")), F.contains("description", "unclean_name"))
+    pairs = texts_with(texts, t.manufacturers.select("unclean_name"), "description", "unclean_name")
     d, n = F.col("description"), F.col("unclean_name")
     return pairs.select("description", "unclean_name", T.starts_with_phrase(d, n).alias("starts"), T.contains_name(d, n).alias("holds"), T.boundary_class(d, n).alias("boundary"))
 
@@ -150,7 +152,7 @@ def p25_code_variants(t: Fixtures) -> DataFrame:
 
 
 def words_sql(c: str, points: dict[str, int]) -> str:
-    return f"CASE lower(trim({c})) " + " ".join(f"WHEN '{w}' THEN {p}" for w, p in points.items()) + " ELSE 0 END"
+    return f"CASE {c} " + " ".join(f"WHEN '{w}' THEN {p}" for w, p in points.items()) + " ELSE 0 END"
 
 
 def points_sql(c: str) -> str:

@@ -80,17 +80,17 @@ VIEWS: dict[str, str] = {
         SELECT n.line_id, c AS cand_no, mfr_name AS mfr, CASE WHEN c = 3 THEN '' ELSE mfr_part_num END AS part, upper(p_name) AS descr, unspsc,
           CASE WHEN (line_id + c) % 6 = 0 THEN 'None' WHEN (line_id + c) % 7 = 0 THEN ' ' ELSE 'http://s' || (line_id + c) % 4 END AS source,
           (line_id + c) % 3 = 0 AS priority_match,
-          CASE CAST((line_id + c) % 5 AS INT) WHEN 0 THEN 'exact' WHEN 1 THEN 'equivalent' WHEN 2 THEN 'related' WHEN 3 THEN 'not specified' ELSE 'no match' END AS mfr_match,
-          CASE CAST((line_id + 2 * c) % 5 AS INT) WHEN 0 THEN 'exact' WHEN 1 THEN 'equivalent' WHEN 2 THEN 'partial' WHEN 3 THEN 'not specified' ELSE 'no match' END AS part_match,
-          CASE CAST((line_id + 3 * c) % 5 AS INT) WHEN 0 THEN 'exact' WHEN 1 THEN 'equivalent' WHEN 2 THEN 'partial' WHEN 3 THEN 'not specified' ELSE 'no match' END AS descr_match
-        FROM {numbered_lines} n JOIN {items} i ON i.item_id = n.l_partkey CROSS JOIN (SELECT 1 AS c UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) k
-        WHERE n.l_suppkey % 20 = 0""",
+          CASE CAST((line_id + c) % 5 AS INT) WHEN 0 THEN 'Exact' WHEN 1 THEN 'Likely' WHEN 2 THEN 'Possible' WHEN 3 THEN 'Not Detected' ELSE 'Mismatch' END AS mfr_match,
+          CASE CAST((line_id + 2 * c) % 5 AS INT) WHEN 0 THEN 'Exact' WHEN 1 THEN 'Strong' WHEN 2 THEN 'Partial' WHEN 3 THEN 'Possible' ELSE 'No Match' END AS part_match,
+          CASE CAST((line_id + 3 * c) % 5 AS INT) WHEN 0 THEN 'Exact' WHEN 1 THEN 'Very High' WHEN 2 THEN 'High' WHEN 3 THEN 'Medium' ELSE 'Low' END AS descr_match,
+          n.line_id % 4 = 1 AS generic
+        FROM {numbered_lines} n JOIN {items} i ON i.item_id = n.l_partkey CROSS JOIN (SELECT 1 AS c UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) k""",
     "class_predictions": """
         SELECT l.doc_id AS uid, 'Q' || quality || CASE WHEN toxic = 1 THEN 'T' ELSE '' END AS true_class,
           'Q' || CASE WHEN n_chars > 300 THEN 1 ELSE 0 END || CASE WHEN n_chars % 11 = 0 THEN 'T' ELSE '' END AS pred_class, CAST(n_chars % 101 AS DOUBLE) AS confidence
         FROM {labels} l JOIN {documents} d ON d.doc_id = l.doc_id""",
     "classifier_training": """
-        SELECT l.doc_id AS uid, left(text, 200) AS description, 'Q' || quality || 'T' || toxic AS class,
+        SELECT l.doc_id AS uid, text AS description, 'Q' || quality || 'T' || toxic AS class,
           CASE CAST(l.doc_id % 3 AS INT) WHEN 0 THEN '{"DESCRIPTION": "NEW"}' WHEN 1 THEN '{"DESCRIPTION": "2025-1", "LOT": "2025-2"}' END AS version_json,
           CASE WHEN l.doc_id % 13 = 0 THEN 'N' ELSE 'Y' END AS active
         FROM {labels} l JOIN {documents} d ON d.doc_id = l.doc_id""",
@@ -100,8 +100,6 @@ VIEWS: dict[str, str] = {
           unspsc AS unspsc_label, CASE WHEN line_id % 3 = 0 THEN left(unspsc, 6) || '99' WHEN line_id % 3 = 1 THEN '40111111' ELSE unspsc END AS unspsc_pred, (line_id * 7) % 101 AS unspsc_conf
         FROM {invoice_lines} WHERE kind < 4""",
 }
-#: The training rows with their whole texts.
-VIEWS["classifier_texts"] = VIEWS["classifier_training"].replace("left(text, 200)", "text")
 _NAME = re.compile(r"\{(\w+)\}")
 
 
