@@ -1,10 +1,12 @@
 """Approximate nearest neighbours by robust-pruned directed graphs, one per shard.
 
 Equal vectors form a class (with the k + 1 smallest ids, which are all that a top-k list can hold of it); classes are dealt to
-shards of about `shard_size` by a hash. In a shard every vector gets out-edges: a greedy beam search over the graph so far
-proposes neighbours, and pruning keeps the nearest one and drops what lies much nearer to it than to the vector, by a factor
-alpha; reverse edges are added and pruned alike. A shard's graph is one row of the index. Queries, in blocks of bounded size,
-meet every shard, run a beam search, and the best of all shards are ranked by the exact cosine.
+shards by a hash. Every query meets every shard, so shards grow with the table: there are at most MOST_SHARDS until one of them
+would hold more than LARGEST_SHARD vectors, and the work and bytes of a query stay bounded. In a shard every vector gets
+out-edges: a greedy beam search over the graph so far proposes neighbours, and pruning keeps the nearest one and drops what
+lies much nearer to it than to the vector, by a factor alpha; reverse edges are added and pruned alike. A shard's graph is
+some rows of the index, which come to one task before the queries that stream past it; only QUERY_BLOCK queries ask for
+another copy. Each runs a beam search, and the best of all shards are ranked by the exact cosine.
 
 Cases: vectors that are null, empty, zero or hold nulls or non-finite numbers take no part, nor do rows with a null id; rows
 that repeat an id count once (with the smallest vector); vectors meet only those of the same dimension; ties go to the smaller
@@ -13,16 +15,25 @@ id; with fewer candidates than k, all that were found are returned; an empty tab
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import stored
 
+#: Vectors of a shard while there are few, shards while there are many, and vectors of a shard at most.
 SHARD_SIZE = 4096
-QUERY_BLOCK = 512
-#: Tasks that build the graphs of shards, at most.
+MOST_SHARDS = 1024
+LARGEST_SHARD = 1 << 18
+#: Vectors in one row of the index.
+CHUNK = 256
+#: Queries that one copy of a shard's graph answers.
+QUERY_BLOCK = 1 << 16
+#: Tasks that build or search the graphs of shards, at most.
 MOST_TASKS = 20_000
 DEGREE = 24
 BEAM = 48
@@ -159,54 +170,91 @@ def vectors(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def build_index(rows: DataFrame, k: int, shard_size: int = SHARD_SIZE) -> DataFrame:
-    """A row per shard: dim, shard, vectors (doubles), edges and the smallest ids of every class. rows: id, v."""
+    """Rows of shards: dim, shard, chunk (from 0), vectors (doubles), edges and the smallest ids of every class. rows: id, v."""
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(32)))
     place = F.row_number().over(Window.partitionBy("v", "salt").orderBy("id"))
     classes = salted.withColumn("r", place).where(F.col("r") <= k + 1).groupBy("v").agg(F.slice(F.array_sort(F.collect_list("id")), 1, k + 1).alias("ids"))
     classes = stored(classes.withColumn("dim", F.size("v")))
-    sizes = classes.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / shard_size).cast("int").alias("shards"))
+    n = F.count(F.lit(1))
+    size = F.least(F.greatest(F.lit(shard_size), F.ceil(n / MOST_SHARDS)), F.lit(LARGEST_SHARD))
+    sizes = classes.groupBy("dim").agg(F.ceil(n / size).cast("int").alias("shards"))
     dealt = classes.join(sizes, "dim").withColumn("shard", F.pmod(F.xxhash64("v"), F.col("shards")).cast("int"))
 
     def shard(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("first")
         x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
         g = build(x / np.linalg.norm(x, axis=1, keepdims=True))
-        return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "vectors": [x.tobytes()], "edges": [g.edges.tobytes()], "ids": [[i.tolist() for i in pdf["ids"]]]})
+        ids = [i.tolist() for i in pdf["ids"]]
+        cuts = range(0, len(x), CHUNK)
+        part = lambda a: [a[i : i + CHUNK].tobytes() for i in cuts]
+        return pd.DataFrame({"dim": key[0], "shard": key[1], "chunk": range(len(cuts)), "vectors": part(x), "edges": part(g.edges), "ids": [ids[i : i + CHUNK] for i in cuts]})
 
     total = sizes.agg(F.sum("shards")).first()[0] or 1
     # A stated number of partitions, which adaptive execution leaves alone: building is far more work than its bytes tell.
     dealt = dealt.select("dim", "shard", "v", "ids", F.element_at("ids", 1).alias("first")).repartition(min(4 * total, MOST_TASKS), "dim", "shard")
-    return stored(dealt.groupBy("dim", "shard").applyInPandas(shard, "dim int, shard int, vectors binary, edges binary, ids array<array<long>>"))
+    return stored(dealt.groupBy("dim", "shard").applyInPandas(shard, "dim int, shard int, chunk int, vectors binary, edges binary, ids array<array<long>>"))
+
+
+class _Shard:
+    """A shard's graph, put together from its rows."""
+
+    def __init__(self, dim: int, rows: list[tuple]) -> None:
+        self.x = np.concatenate([np.frombuffer(v, np.float64) for v, _, _ in rows]).reshape(-1, dim)
+        self.norm = np.sqrt((self.x * self.x).sum(1))
+        edges = np.concatenate([np.frombuffer(e, np.int32) for _, e, _ in rows]).reshape(len(self.x), -1)
+        self.graph = Graph(self.x / self.norm[:, None], edges)
+        self.ids = [i for _, _, ids in rows for i in ids]
+
+    def nearest(self, own: list[int], q: np.ndarray, k: int, beam: int) -> Iterator[tuple[int, int, float]]:
+        q_norm = np.sqrt((q * q).sum(1))
+        for lo in range(0, len(q), 64):
+            found, _ = self.graph.search((q[lo : lo + 64] / q_norm[lo : lo + 64, None]).astype(np.float32), min(beam, len(self.x)))
+            for r, near in enumerate(found[:, : 4 * k], lo):
+                near = near[near >= 0]
+                score = (self.x[near] @ q[r]) / (self.norm[near] * q_norm[r])
+                best = sorted((-s, i) for s, c in zip(score.tolist(), near.tolist(), strict=True) for i in self.ids[c] if i != own[r])[:k]
+                yield from ((own[r], i, -s) for s, i in best)
+
+
+def _search_shards(k: int, beam: int):
+    """Over rows sorted by (dim, shard, block), a shard's graph before the queries that ask it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows, shard = None, [], None
+        for batch in batches:
+            column = lambda c, b=batch: b.column(b.schema.get_field_index(c))
+            keys = list(zip(*(column(c).to_pylist() for c in ("dim", "shard", "block", "kind")), strict=True))
+            out: list[tuple[int, int, float]] = []
+            lo = 0
+            while lo < len(keys):
+                hi = lo
+                while hi < len(keys) and keys[hi] == keys[lo]:
+                    hi += 1
+                if keys[lo][:3] != key:
+                    key, rows, shard = keys[lo][:3], [], None
+                if keys[lo][3] == 0:
+                    rows += zip(*(column(c).slice(lo, hi - lo).to_pylist() for c in ("vectors", "edges", "ids")), strict=True)
+                else:
+                    if shard is None:
+                        shard, rows = _Shard(key[0], rows), []
+                    q = column("v").slice(lo, hi - lo).flatten().to_numpy().reshape(hi - lo, -1)
+                    out += shard.nearest(column("id").slice(lo, hi - lo).to_pylist(), q, k, beam)
+                lo = hi
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
+
+    return run
 
 
 def search(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARCH_BEAM, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest found of each query (id, v), its own row excluded."""
     queries = stored(queries)
     blocks = max(1, -(-queries.count() // query_block))
-    shards = index.select(F.col("dim").alias("dim"), F.col("shard").alias("shard"))
+    shards = index.where("chunk = 0").select("dim", "shard")
+    total = shards.count() or 1
     asked = queries.select("id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")).join(shards, "dim")
-    held = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def part(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, float]] = []
-        if len(left) and len(right):
-            row = left.iloc[0]
-            x = np.frombuffer(row["vectors"], np.float64).reshape(-1, int(row["dim"]))
-            norm = np.sqrt((x * x).sum(1))
-            edges = np.frombuffer(row["edges"], np.int32).reshape(len(x), -1)
-            g = Graph(x / norm[:, None], edges)
-            q = np.stack(right["v"].to_numpy()).astype(np.float64)
-            q_norm = np.sqrt((q * q).sum(1))
-            for lo in range(0, len(q), 64):
-                found, _ = g.search((q[lo : lo + 64] / q_norm[lo : lo + 64, None]).astype(np.float32), min(beam, len(x)))
-                for r, near in enumerate(found[:, : 4 * k], lo):
-                    near = near[near >= 0]
-                    score = (x[near] @ q[r]) / (norm[near] * q_norm[r])
-                    own = int(right["id"].iloc[r])
-                    best = sorted((-s, i) for s, c in zip(score.tolist(), near.tolist(), strict=True) for i in row["ids"][c] if i != own)[:k]
-                    out += [(own, i, -s) for s, i in best]
-        return pd.DataFrame({"query_id": pd.Series([x[0] for x in out], dtype="int64"), "vec_id": pd.Series([x[1] for x in out], dtype="int64"), "score": pd.Series([x[2] for x in out], dtype="float64")})
-
-    found = held.groupBy("dim", "shard", "block").cogroup(asked.groupBy("dim", "shard", "block")).applyInPandas(part, "query_id long, vec_id long, score double")
+    held = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("kind", F.lit(0))
+    both = held.unionByName(asked.withColumns({"kind": F.lit(1), "chunk": F.lit(0)}), allowMissingColumns=True)
+    both = both.repartition(min(4 * total * blocks, MOST_TASKS), "dim", "shard", "block").sortWithinPartitions("dim", "shard", "block", "kind", "chunk")
+    found = both.mapInArrow(_search_shards(k, beam), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -255,6 +255,25 @@ def test_ann_recall(spark):
     assert hits / total >= 0.9
 
 
+def test_ann_recall_over_many_shards(spark):
+    """All vectors of the larger table in shards of 200, the queries in blocks of 64: recall of the five nearest."""
+    folder = SF.replace("0.001", "0.1")
+    e = pd.read_parquet(f"{folder}/embeddings.parquet")
+    x = np.stack(e.embedding.to_numpy()).astype(float)
+    unit, ids = x / np.linalg.norm(x, axis=1, keepdims=True), e.vec_id.to_numpy()
+    rows = ann.vectors(spark.read.parquet(f"{folder}/embeddings.parquet"), "vec_id", "embedding")
+    index = ann.build_index(rows, 5, shard_size=200)
+    assert index.where("chunk = 0").count() >= 8
+    got = ann.search(index, rows.where("id % 5 = 0"), 5, query_block=64).toPandas()
+    mine = got.groupby("query_id").vec_id.apply(set)
+    hits = 0
+    for i in np.flatnonzero(ids % 5 == 0):
+        s = unit @ unit[i]
+        s[i] = -2
+        hits += len(set(ids[np.lexsort((ids, -s))[:5]]) & mine[ids[i]])
+    assert len(got) == 5 * len(mine) and hits / len(got) >= 0.98
+
+
 def test_ann_odd_vectors(spark, tmp_path):
     rows = [(0, [1.0, 0.0]), (50, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]), (8, [2.0, 0.1]), (None, [1.0, 1.0]), (9, [1.0, None]), (10, [1.0, 2.0, 3.0]), (0, [1.0, 0.0])]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit("clash")).write.parquet(str(tmp_path / "embeddings.parquet"))
