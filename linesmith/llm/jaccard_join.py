@@ -48,6 +48,8 @@ LEAST_HEAVY = 64
 TOKEN_BITS = 58
 #: Classes that a task remembers, so as not to send equal sets again.
 _REMEMBERED = 1 << 16
+#: Rows of one batch of postings.
+_ROWS_OUT = 16_384
 #: Tokens of each class whose lists make the first groups.
 _FIRST = 2
 #: Entries of one group that are held back until the next block of their list is seen; more are kept without being looked at.
@@ -115,10 +117,11 @@ def heavy_levels(docs: DataFrame, k: int, share: float) -> np.ndarray:
 
     The driver gets at most 1 / HEAVY rows. The levels only set an order of tokens, so the result does not depend on them.
     """
-    counted = docs.mapInArrow(_count_low(k, share), "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n"))
-    total = counted.where("counter < 0").select(F.col("n").alias("total"))
-    heavy = counted.join(F.broadcast(total), F.col("n") > F.greatest(F.lit(LEAST_HEAVY), F.col("total") * HEAVY)).where("counter >= 0")
-    rows = heavy.select("counter", "n").toArrow()
+    scratch = Scratch(docs.sparkSession)
+    counted = scratch.stored(docs.mapInArrow(_count_low(k, share), "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")))
+    total = counted.where("counter < 0").agg(F.sum("n")).first()[0] or 0
+    rows = counted.where((F.col("counter") >= 0) & (F.col("n") > max(LEAST_HEAVY, total * HEAVY))).toArrow()
+    scratch.drop(counted)
     out = np.zeros(1 << SKETCH_BITS, np.uint8)
     out[rows["counter"].to_numpy()] = np.minimum(np.log2(rows["n"].to_numpy()), 60).astype(np.uint8)
     return out
@@ -183,7 +186,9 @@ def _postings(k: int, percent: int, levels):
                     seen.clear()
                 doc = np.repeat(np.arange(b.n), np.diff(first))
                 keep = (place < most[doc]) & new[doc]
-                yield pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), pa.array(mark[doc[keep]]), pa.array(place[keep].astype(np.int32))], ["token", "m", "place"])
+                out = pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), pa.array(mark[doc[keep]]), pa.array(place[keep].astype(np.int32))], ["token", "m", "place"])
+                for at in range(0, out.num_rows, _ROWS_OUT):
+                    yield out.slice(at, _ROWS_OUT)
 
     return run
 
@@ -532,7 +537,8 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     left = left.withColumn("rank", F.row_number().over(of_set.orderBy("place")))
     left = scratch.stored(left.select("token", "n", "place", "m", "rank"))
     scratch.drop(shared)
-    maps = scratch.stored(left.where("rank = 1").select("m").join(whole.select("m", "bitmap"), "m").dropDuplicates(["m"]))
+    # Bitmaps of equal sets are reduced to one before they are shuffled.
+    maps = scratch.stored(whole.groupBy("m").agg(F.first("bitmap").alias("bitmap")).join(left.where("rank = 1").select("m"), "m"))
 
     first = _with_maps(left.where(f"rank <= {_FIRST}").select("token", "n", "place", "m").mapInArrow(_runs(percent), "run long, m long, n long"), maps)
     gathered = "a long, b long, run long, n long, m long, bitmap binary"

@@ -32,10 +32,14 @@ m AS (
     coalesce(again.n, 0) AS n_repeat_words, CAST(coalesce(dups.n, 0) AS BIGINT) AS n_lines,
     length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n_letters, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_capitals
   FROM d LEFT JOIN again USING (r) LEFT JOIN dups USING (r))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {_any("base")} AS base_failed,
+"""
+VERDICTS = f"""SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {_any("base")} AS base_failed,
   NOT {_any("base")} AND NOT {_any("v1")} AS kept, CAST({_bits} AS BIGINT) AS failure_bits
 FROM m
 """
+VERSIONS = " UNION ALL ".join(f"SELECT '{p}' AS policy, count(*) AS documents, count(*) FILTER (NOT {_any(p)}) AS kept, count(*) FILTER ({_any(p)} <> {_any('base')}) AS unlike_base FROM m" for p in POLICIES)
+_N_FAILED = " + ".join(f"CAST(({rule}) AS INT)" for rule in RULES.values())
+ABLATION = " UNION ALL ".join(f"SELECT '{r}' AS rule, count(*) FILTER ({_any('v2')}) AS rejected, count(*) FILTER ({RULES[r]}) AS failed, count(*) FILTER (({RULES[r]}) AND {_N_FAILED} = 1) AS alone FROM m" for r in POLICIES["v2"])
 
 OP10 = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
@@ -164,7 +168,9 @@ def sql(topic: str, targets: dict) -> dict[str, str]:
         "op2_source_mixing": _op2(ROUNDS, topic, targets),
         "op3_language_id": _op3(TOP),
         "op4_ngram_jaccard_join": OP4,
-        "op7_quality_rules": OP7,
+        "op7_quality_rules": OP7 + VERDICTS,
+        "quality_rules_versions": OP7 + VERSIONS,
+        "quality_rules_ablation": OP7 + ABLATION,
         "op8_secret_scan": _op8(rules, len(BASE)),
         "op10_substring_dedup": OP10,
     }

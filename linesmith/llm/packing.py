@@ -2,10 +2,10 @@
 
 Documents longer than the largest capacity are cut into pieces of it; all pieces go to shards by hash, so that a shard holds
 about `shard_tokens` tokens whatever the corpus, and each shard is packed by itself. Pieces come by decreasing length. Each goes to
-the open bin that it leaves fullest; if none has room, a bin is opened at the capacity that costs least for what is still to
-come: the capacity whose cost per token is least if the remaining tokens of the shard fill it, and the cheapest that holds the
-piece otherwise. At the end every bin is cut down to the least capacity that holds its contents, which pads least and costs
-least. All capacities compete for every piece, so they are optimised jointly.
+the open bin that it leaves fullest; if none has room, a bin is opened at the capacity that costs least per token with what is
+still to come: for each capacity, the pieces still to come are put beside the piece in their order, as far as they fit, and the
+bin is priced at the least capacity that holds the outcome. So all capacities compete for every bin, given the lengths that are
+left. At the end every bin is cut down to the least capacity that holds its contents, which pads least and costs least.
 
 Cases: documents without tokens take no room and are returned with null bin, offset and capacity; repeated rows are packed as
 often as they occur; ties in length go by id, piece and hash, ties between bins to the older one; an empty table gives an
@@ -14,7 +14,8 @@ empty result; other columns are not read.
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
+from itertools import accumulate
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,29 +34,49 @@ def cost(capacity: int) -> float:
     return capacity * (1 + capacity / 16384) + 16
 
 
-def open_size(need: int, left: int, capacities: tuple[int, ...]) -> int:
-    """The capacity at which a bin for a piece of `need` tokens is opened, with `left` tokens to come, its own included."""
-    fit = [c for c in capacities if c >= need]
-    return min(fit, key=lambda c: (cost(c) / min(c, max(left, need)), c))
+class Opening:
+    """Which capacity to open a bin at, over pieces by decreasing length."""
+
+    def __init__(self, lengths: list[int], capacities: tuple[int, ...]) -> None:
+        self.capacities, self.sums = capacities, [0, *accumulate(lengths)]
+        ascending = lengths[::-1]
+        #: The first piece that is no longer than v, for every v.
+        self.fits = [len(lengths) - bisect_right(ascending, v) for v in range(capacities[-1] + 1)]
+
+    def filled(self, i: int, capacity: int) -> int:
+        """Tokens in a bin that holds piece i and those after it, in order, that still fit."""
+        used, j, end = self.sums[i + 1] - self.sums[i], i + 1, len(self.sums) - 1
+        while (j := max(j, self.fits[capacity - used])) < end:
+            k = bisect_right(self.sums, self.sums[j] + capacity - used, j) - 1  # pieces j to k - 1 fit one after the other
+            used, j = used + self.sums[k] - self.sums[j], k
+        return used
+
+    def size(self, i: int) -> int:
+        """The capacity for a bin that begins with piece i; of equally good ones the smallest."""
+        def price(c: int) -> float:
+            used = self.filled(i, c)
+            return cost(next(d for d in self.capacities if d >= used)) / used
+
+        need = self.sums[i + 1] - self.sums[i]
+        return min((c for c in self.capacities if c >= need), key=lambda c: (price(c), c))
 
 
 def pack(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES) -> tuple[list[int], list[int], list[int]]:
     """Bin and offset of each piece (lengths decrease), and the final capacity of each bin."""
-    left = sum(lengths)
+    opening = Opening(lengths, capacities)
     room: list[tuple[int, int]] = []  # of open bins: what is free, and the number
     used: list[int] = []
     bins, offsets = [], []
-    for n in lengths:
+    for i, n in enumerate(lengths):
         at = bisect_left(room, (n, -1))
         if at < len(room):
             free, b = room.pop(at)
         else:
-            free, b = open_size(n, left, capacities), len(used)
+            free, b = opening.size(i), len(used)
             used.append(0)
         bins.append(b)
         offsets.append(used[b])
         used[b] += n
-        left -= n
         if free > n:
             insort(room, (free - n, b))
     return bins, offsets, [next(c for c in capacities if c >= u) for u in used]

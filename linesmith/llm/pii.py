@@ -3,12 +3,15 @@
 The base kinds are found by regular expressions with checks. Around them stands a field over the tokens that hold a digit or
 an @ (no others can belong to these kinds): each token has a label (none, email, ip, card, phone), neighbours in the text
 share a chain potential, and all tokens of a document with the same form (mailbox, digits) share a skip potential through a
-form variable, so that a token repeated n times costs n edges. Tokens in base spans are observed. Loopy sum-product messages
-carry labels to distant repeats, and a token is added if its posterior is high enough and some repeat of its form is a base
-span of that kind.
+form variable, so that a token repeated n times costs n edges. Similar forms (the same last seven digits, mailboxes that
+differ in dots or a tag) share a potential of their own through a variable for what they have in common. Tokens in
+base spans are observed. Loopy sum-product messages carry labels to distant repeats, and a token that has a repeat or a similar
+token in its document is added if its posterior is high enough.
 
 The potentials are fitted piecewise: Spark counts, over all documents, labels by token shape, by neighbouring pair and by
-agreement within forms; the tables have at most SHAPES + 25 + 2 rows and go to the driver. Documents are independent in the
+agreement within forms and among similar ones; the tables have at most 5 * SHAPES + 29 rows and go to the driver. The expressions that label the tokens miss
+entities, so a token outside of their spans that is linked to one inside, by form or a similar form, counts as not labelled,
+and agreement is counted among labelled entities alone. Documents are independent in the
 search, so nothing but these counts is shuffled.
 
 Cases: a null or empty text has no spans and the digest of the empty string (redaction leaves it as it is); repeated rows keep
@@ -35,7 +38,8 @@ LABELS = ("none", *KINDS)
 _MAILBOX = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _HOST = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _REGEX = {
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    # A match begins at the first digit of a run and takes whole runs, so the pattern may say so; long runs are read once.
+    "ip": re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
@@ -46,7 +50,11 @@ _BUCKET = np.array([0, 1, 1, 1, 2, 2, 2, 3, 3, 3, 4, 4, 4, 5, 5, 5, 6, 6, 6, 6,
 #: Shapes that can occur: digits (8 groups), @, dots (0 to 3), plus, parenthesis, hyphen.
 SHAPES = 8 * 2 * 4 * 2 * 2 * 2
 THRESHOLD = 0.6
-_ROUNDS = 8
+#: Agreeing pairs that repeats, and similar forms, are taken to have had before any were seen.
+SAME_PRIOR, SIMILAR_PRIOR = 100, 50
+#: Fewer digits do not tell a number from another.
+_LEAST_DIGITS = 5
+_ROUNDS = 16
 _EDGE = ".,;:!?\"'<>[]{}|*#&%$="
 
 Span = tuple[int, int, int]  # kind, start, end
@@ -97,7 +105,14 @@ def form(core: str) -> str | None:
     if "@" in core:
         return core.split("@")[0].lower() + "@"
     digits = "".join(c for c in core if "0" <= c <= "9")
-    return digits if len(digits) >= 3 else None
+    return digits if len(digits) >= _LEAST_DIGITS else None
+
+
+def similar_key(f: str) -> str | None:
+    """What a form has in common with similar ones: its last seven digits, or the plain mailbox."""
+    if f.endswith("@"):
+        return f[:-1].split("+")[0].replace(".", "") + "@"
+    return f[-7:] if len(f) >= 7 else None
 
 
 class Tokens:
@@ -133,22 +148,42 @@ class Tokens:
             f = form(core)
             self.form.append(-1 if f is None else forms.setdefault((i, f), len(forms)))
         self.n_forms = len(forms)
+        alike: dict[tuple[int, str], list[int]] = defaultdict(list)
+        for (i, f), number in forms.items():
+            if (k := similar_key(f)) is not None:
+                alike[i, k].append(number)
+        groups = sorted({tuple(g) for g in alike.values() if len(g) > 1})
+        self.n_groups = len(groups)
+        #: Pairs of a form and a group of similar forms.
+        self.similar = np.array([(f, g) for g, members in enumerate(groups) for f in members], np.int64).reshape(-1, 2)
         self.label, self.form = np.array(self.label, np.int64), np.array(self.form, np.int64)
+        # Tokens that are no entity by themselves but linked to one, by repeats and similar forms.
+        has = np.flatnonzero(self.form >= 0)
+        named, near = np.zeros(self.n_forms, bool), np.zeros(self.n_groups, bool)
+        named[self.form[has][self.label[has] > 0]] = True
+        near[self.similar[:, 1][named[self.similar[:, 0]]]] = True
+        named[self.similar[:, 0][near[self.similar[:, 1]]]] = True
+        self.open = np.zeros(len(self.label), bool)
+        self.open[has] = (self.label[has] == 0) & named[self.form[has]]
         left = np.flatnonzero((np.diff(marked) == 1) & (np.diff(doc) == 0)) if len(marked) else np.zeros(0, np.int64)
         self.left = left  # token t and t + 1 are neighbours
 
     def counts(self) -> dict[tuple[str, str], int]:
         out: dict[tuple[str, str], int] = defaultdict(int)
-        for s, k in zip(self.shape, self.label.tolist(), strict=True):
-            out[f"u{s}", LABELS[k]] += 1
-        for t in self.left.tolist():
+        for s, k, unsure in zip(self.shape, self.label.tolist(), self.open.tolist(), strict=True):
+            if not unsure:
+                out[f"u{s}", LABELS[k]] += 1
+        for t in self.left[~self.open[self.left] & ~self.open[self.left + 1]].tolist():
             out[f"c{LABELS[self.label[t]]}", LABELS[self.label[t + 1]]] += 1
-        has = self.form >= 0
+        known = (self.form >= 0) & (self.label > 0)
         votes = np.zeros((self.n_forms, len(LABELS)), np.int64)
-        np.add.at(votes, (self.form[has], self.label[has]), 1)
-        votes = votes[votes.sum(1) > 1]
-        out["s", "same"] += int(votes.max(1).sum()) if len(votes) else 0
-        out["s", "other"] += int(votes.sum() - votes.max(1).sum()) if len(votes) else 0
+        np.add.at(votes, (self.form[known], self.label[known]), 1)
+        groups = np.zeros((self.n_groups, len(LABELS)), np.int64)
+        np.add.at(groups, self.similar[:, 1], votes[self.similar[:, 0]] > 0)
+        for key, v in (("s", votes), ("g", groups)):
+            v = v[v.sum(1) > 1]
+            out[key, "same"] += int(v.max(1).sum()) if len(v) else 0
+            out[key, "other"] += int(v.sum() - v.max(1).sum()) if len(v) else 0
         return out
 
 
@@ -168,7 +203,8 @@ class Model:
         self.flat = np.log(np.full(n, 1 / n))
         p = chain / chain.sum()
         self.chain = np.clip(np.log(p / (p.sum(1, keepdims=True) * p.sum(0, keepdims=True))), -3, 3)
-        self.skip = float(np.clip(np.log((counts.get(("s", "same"), 0) + 1) / (counts.get(("s", "other"), 0) + 1)), 2, 6)) * np.eye(n)
+        agree = lambda key, prior: float(np.clip(np.log((counts.get((key, "same"), 0) + prior) / (counts.get((key, "other"), 0) + 1)), 0, 6))
+        self.skip, self.similar = agree("s", SAME_PRIOR) * np.eye(n), agree("g", SIMILAR_PRIOR) * np.eye(n)
 
 
 def messages(unary: np.ndarray, edges: np.ndarray, kind: np.ndarray, potentials: np.ndarray, rounds: int = _ROUNDS) -> np.ndarray:
@@ -199,22 +235,20 @@ def added_spans(t: Tokens, model: Model, threshold: float = THRESHOLD) -> dict[i
     out: dict[int, list[Span]] = defaultdict(list)
     n, k = len(t.label), len(LABELS)
     has = np.flatnonzero(t.form >= 0)
-    support = np.zeros((t.n_forms, k), bool)
-    support[t.form[has], t.label[has]] = True
-    open_ = has[(t.label[has] == 0) & support[t.form[has], 1:].any(1)]
+    open_ = np.flatnonzero(t.open)
     if not len(open_):
         return out
-    unary = np.zeros((n + t.n_forms, k))
+    unary = np.zeros((n + t.n_forms + t.n_groups, k))
     unary[:n] = [model.unary.get(s, model.flat) for s in t.shape]
     seen = np.flatnonzero(t.label > 0)
     unary[seen] = -30.0
     unary[seen, t.label[seen]] = 0.0
-    edges = np.concatenate([np.stack([t.left, t.left + 1], 1), np.stack([has, n + t.form[has]], 1)])
-    kind = np.concatenate([np.zeros(len(t.left), np.int64), np.ones(len(has), np.int64)])
-    post = messages(unary, edges, kind, np.stack([model.chain, model.skip]))[:n]
+    edges = np.concatenate([np.stack([t.left, t.left + 1], 1), np.stack([has, n + t.form[has]], 1), t.similar + [n, n + t.n_forms]])
+    kind = np.repeat(np.arange(3), [len(t.left), len(has), len(t.similar)])
+    post = messages(unary, edges, kind, np.stack([model.chain, model.skip, model.similar]))[:n]
     best = post[:, 1:].argmax(1) + 1
     for i in open_.tolist():
-        if post[i, best[i]] >= threshold and support[t.form[i], best[i]]:
+        if post[i, best[i]] >= threshold:
             d, (s, e) = int(t.doc[i]), t.span[i]
             last = out[d][-1] if out[d] else None
             if last and last[0] == best[i] - 1 and last[2] + 1 == s:

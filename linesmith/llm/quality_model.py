@@ -109,13 +109,18 @@ def _strength(doc: np.ndarray, slot: np.ndarray, grade: np.ndarray, slots: int)
 def fit_arrays(doc: np.ndarray, slot: np.ndarray, value: np.ndarray, grade: np.ndarray, rounds: int = 300, rate: float = 0.3, l2: float = 5e-4) -> OrdinalModel:
     """Penalised maximum likelihood by full-batch Adam; grades are 0..K-1. The shares of the layout are not penalised."""
     n, k = len(grade), max(int(grade.max()) + 1, 2)
-    used, slot = np.unique(slot, return_inverse=True)
+    seen = np.bincount(slot)
+    used = np.flatnonzero(seen)
     layout = used < _SHARES
-    common = (np.bincount(slot) >= _LEAST_DOCS) | layout
-    keep = common[slot]
-    doc, slot, value = doc[keep], slot[keep], value[keep]
+    common = (seen[used] >= _LEAST_DOCS) | layout
+    keep = np.zeros(len(seen), bool)
+    keep[used[common]] = True
+    keep = keep[slot]
+    number = np.zeros(len(seen), np.int32)
+    number[used] = np.arange(len(used))
+    doc, slot, value = doc[keep].astype(np.int32), number[slot[keep]], value[keep].astype(np.float32)
     strength = np.where(layout, 1.0, _strength(doc, slot, grade, len(used)))
-    value = value * strength[slot]
+    value = (value * strength[slot]).astype(np.float32)
     share = np.clip(np.cumsum(np.bincount(grade, minlength=k))[:-1] / n, 0.01, 0.99)
     theta = np.log(share / (1 - share))
     # all parameters in one vector: weights, the first threshold, and the logarithms of the steps to the next ones
@@ -152,14 +157,19 @@ def _features_of_rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 
 def _fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts = [b for b in batches if b.num_rows]
-    if not parts:
+    grades, sizes, slots, values = [], [], [], []
+    for b in batches:  # as small numbers, batch by batch, so that the sample is held once
+        grades.append(b.column(0).to_numpy())
+        sizes.append(pa.compute.list_value_length(b.column(1)).to_numpy(zero_copy_only=False))
+        slots.append(b.column(1).flatten().to_numpy().copy())
+        values.append(b.column(2).flatten().to_numpy().copy())
+    grade = np.concatenate(grades) if grades else np.zeros(0)
+    if not len(grade):
         return
-    grade = np.concatenate([b.column(0).to_numpy() for b in parts])
-    size = np.concatenate([pa.compute.list_value_length(b.column(1)).to_numpy(zero_copy_only=False) for b in parts])
-    slot = np.concatenate([b.column(1).flatten().to_numpy() for b in parts]).astype(np.int64)
-    value = np.concatenate([b.column(2).flatten().to_numpy() for b in parts]).astype(np.float64)
-    model = fit_arrays(np.repeat(np.arange(len(grade)), size), slot, value, grade.astype(np.int64))
+    slot, value = np.concatenate(slots), np.concatenate(values)
+    del slots, values
+    doc = np.repeat(np.arange(len(grade), dtype=np.int32), np.concatenate(sizes))
+    model = fit_arrays(doc, slot, value, grade.astype(np.int64))
     at = np.flatnonzero(model.weights)
     yield pa.RecordBatch.from_arrays([pa.array([model.thresholds.tolist()], pa.list_(pa.float64())), pa.array([at.tolist()], pa.list_(pa.int32())), pa.array([model.weights[at].tolist()], pa.list_(pa.float64()))], ["thresholds", "slots", "weights"])
 

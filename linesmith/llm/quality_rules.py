@@ -1,7 +1,7 @@
 """Quality rules as a ledger of bits: every rule is evaluated once, policies and ablations only read the bits.
 
-`rule_ledger` makes one row per document: its measurements and `failure_bits`, in which bit i is set if rule i fails.
-`apply_policy` turns a ledger into verdicts under one version of a policy (a set of rules), and `ablation` counts, in one
+`rule_ledger` makes one row per document: its measurements and `failure_bits`, in which bit i is set if rule i fails;
+`store_ledger` writes it to the shared folder, so that any number of policies and ablations read it. `apply_policy` turns a ledger into verdicts under one version of a policy (a set of rules), and `ablation` counts, in one
 aggregation over the bits, what each rule of a policy rejects alone and together with others.
 
 Cases: a null or empty text has no words and so fails the rule of too few words; repeated rows each keep their own row; an
@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import stored
 from .words import Block, covered, mix, per_block, repeated, span_hash, window_hash
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_capitals")
@@ -89,6 +90,11 @@ def rule_ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return seen.withColumn("failure_bits", bits.cast("long"))
 
 
+def store_ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The ledger as a table of the shared folder: every rule is evaluated once, whatever is then asked of it."""
+    return stored(rule_ledger(docs, id_col, text_col))
+
+
 def kept(policy: str) -> Column:
     return F.col("failure_bits").bitwiseAND(F.lit(mask(policy))) == 0
 
@@ -99,13 +105,22 @@ def apply_policy(ledger: DataFrame, policy: str) -> DataFrame:
     return ledger.withColumn("base_failed", base).withColumn("kept", ~base & kept(policy))
 
 
+def compare_policies(ledger: DataFrame) -> DataFrame:
+    """A row per version of the policy: documents, those it keeps, and those it keeps but `base` rejects or the other way round."""
+    counts = [F.count(F.lit(1)).alias("n")]
+    for p in POLICIES:
+        counts += [F.count_if(kept(p)).alias(f"k_{p}"), F.count_if(kept(p) != kept("base")).alias(f"d_{p}")]
+    stack = ", ".join(f"'{p}', k_{p}, d_{p}" for p in POLICIES)
+    return ledger.agg(*counts).selectExpr("n AS documents", f"stack({len(POLICIES)}, {stack}) AS (policy, kept, unlike_base)")
+
+
 def ablation(ledger: DataFrame, policy: str) -> DataFrame:
     """A row per rule of the policy: rejected (by the whole policy), failed (the rule itself), alone (kept if only this rule went)."""
     m = mask(policy)
     hit = F.col("failure_bits").bitwiseAND(F.lit(m))
     names = POLICIES[policy]
     one = {r: 1 << list(RULES).index(r) for r in names}
-    sums = [F.count_if(hit != 0).alias("rejected"), F.bit_or(hit).alias("seen_bits")]
+    sums = [F.count_if(hit != 0).alias("rejected")]
     sums += [F.count_if(hit.bitwiseAND(F.lit(b)) != 0).alias(f"f_{r}") for r, b in one.items()]
     sums += [F.count_if(hit == b).alias(f"a_{r}") for r, b in one.items()]
     stack = ", ".join(f"'{r}', f_{r}, a_{r}" for r in names)

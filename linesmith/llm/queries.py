@@ -66,11 +66,21 @@ def op6_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts of policy v1 on every document, with the ledger's bits."""
-    ledger = quality_rules.rule_ledger(_table(spark, sf_dir, "documents"))
+    """Verdicts of policy v1 on every document, with the ledger's bits, from a stored ledger."""
+    ledger = quality_rules.store_ledger(_table(spark, sf_dir, "documents"))
     return quality_rules.apply_policy(ledger, "v1").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failure_bits")
 
 
+def quality_rules_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents under every version of the policy: how many it keeps, from one stored ledger."""
+    return quality_rules.compare_policies(quality_rules.store_ledger(_table(spark, sf_dir, "documents")))
+
+
+def quality_rules_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every rule of policy v2 rejects, by itself and alone, from a stored ledger."""
+    return quality_rules.ablation(quality_rules.store_ledger(_table(spark, sf_dir, "documents")), "v2")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document."""
     return secrets.scan_secrets(_table(spark, sf_dir, "documents"))
@@ -94,6 +104,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_classifier": op5_quality_classifier,
     "op6_vector_graph": op6_vector_graph,
     "op7_quality_rules": op7_quality_rules,
+    "quality_rules_versions": quality_rules_versions,
+    "quality_rules_ablation": quality_rules_ablation,
     "op8_secret_scan": op8_secret_scan,
     "op9_pii": op9_pii,
     "op10_substring_dedup": op10_substring_dedup,

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
 from re import _constants as op
@@ -37,6 +37,30 @@ class Rule:
     pattern: str
     flags: int = re.ASCII
     accept: Callable[[re.Match], bool] | None = None
+    #: Finds the same matches (start, end) where the expression alone would read long runs again and again.
+    find: Callable[[str], Iterator[tuple[int, int]]] | None = None
+
+    def spans(self, regex: re.Pattern, text: str) -> Iterator[tuple[int, int]]:
+        if self.find is not None:
+            return self.find(text)
+        return (m.span() for m in regex.finditer(text) if self.accept is None or self.accept(m))
+
+
+_RUN = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-"
+_JWT_END = re.compile(r"\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+
+
+def web_tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of the rule jwt, looked for from its first dot: in the run before it the first `eyJ` is the leftmost start."""
+    free, dot = 0, text.find(".eyJ")
+    while dot >= 0:
+        run = len(text[free:dot].rstrip(_RUN)) + free
+        start = text.find("eyJ", run, dot)
+        m = _JWT_END.match(text, dot) if 0 <= start <= dot - 11 else None
+        if m:
+            yield start, m.end()
+        free = m.end() if m else dot + 1
+        dot = text.find(".eyJ", free)
 
 
 #: The base kinds first, in the order in which spans at one place are listed; then what the method adds.
@@ -47,7 +71,7 @@ BASE = (
 )
 ADDED = (
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", find=web_tokens),
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("bearer", r"bearer\x20+[A-Za-z0-9+/_.=-]{20,}", re.ASCII | re.IGNORECASE),
@@ -153,18 +177,18 @@ def candidates(query: Query, postings: dict[str, np.ndarray], n: int) -> np.ndar
 
 def _scanner(rules: tuple[Rule, ...], base: int):
     def run_all():
-        compiled = [(re.compile(r.pattern, r.flags), trigram_query(r.pattern, r.flags), r.accept) for r in rules]
+        compiled = [(re.compile(r.pattern, r.flags), trigram_query(r.pattern, r.flags), r) for r in rules]
         index = Index(set().union(*(_trigrams(q) for _, q, _ in compiled)))
 
         def run(b: Block) -> pa.RecordBatch:
             postings = index.postings(b)
             spans: list[list[tuple[int, int, int]]] = [[] for _ in range(b.n)]
             texts: dict[int, str] = {}
-            for k, (regex, query, accept) in enumerate(compiled):
+            for k, (regex, query, rule) in enumerate(compiled):
                 for i in candidates(query, postings, b.n).tolist():
                     if (text := texts.get(i)) is None:
                         text = texts[i] = b.text_bytes(i).decode()
-                    spans[i] += [(m.start(), k, m.end()) for m in regex.finditer(text) if accept is None or accept(m)]
+                    spans[i] += [(start, k, end) for start, end in rule.spans(regex, text)]
             names = [r.kind for r in rules]
             said = lambda found: ",".join(f"{names[k]}:{s}:{e}" for s, k, e in found)
             counts = [[sum(x[1] == k for x in found) for found in spans] for k in range(base)]

@@ -7,13 +7,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of one Arrow batch. Texts can be long, so a batch stays far below Spark's default of 10,000 rows.
-ARROW_ROWS = 512
+#: Rows and bytes of one Arrow batch, whichever is reached first. Texts can be long, so it is the bytes that bound their batches.
+ARROW_ROWS, ARROW_BYTES = 8192, 4 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Sets the Arrow batch size for tables of texts; call it before a plan that sends texts to Python."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
 
 

@@ -3,9 +3,11 @@
 import hashlib
 import itertools
 import re
+import time
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,19 +21,25 @@ from .test_corpus_queries import LONG, ODD, odd_folder
 
 
 def plain_pack(lengths, capacities):
-    """Best fit by looking at every open bin."""
-    bins, left = [], sum(lengths)
-    out = []
-    for n in lengths:
-        fit = [(b["size"] - b["used"], i) for i, b in enumerate(bins) if b["size"] - b["used"] >= n]
+    """Best fit by looking at every open bin; a bin is opened at the size that is cheapest per token with what is to come."""
+    price = lambda used: min(c * (1 + c / 16384) + 16 for c in capacities if c >= used) / used
+
+    def opened(i, size):
+        used = lengths[i]
+        for n in lengths[i + 1 :]:
+            used += n if used + n <= size else 0
+        return price(used)
+
+    bins, out = [], []
+    for i, n in enumerate(lengths):
+        fit = [(b["size"] - b["used"], j) for j, b in enumerate(bins) if b["size"] - b["used"] >= n]
         if fit:
-            i = min(fit)[1]
+            j = min(fit)[1]
         else:
-            bins.append({"size": packing.open_size(n, left, capacities), "used": 0})
-            i = len(bins) - 1
-        out.append((i, bins[i]["used"]))
-        bins[i]["used"] += n
-        left -= n
+            bins.append({"size": min((c for c in capacities if c >= n), key=lambda c: (opened(i, c), c)), "used": 0})
+            j = len(bins) - 1
+        out.append((j, bins[j]["used"]))
+        bins[j]["used"] += n
     return out, [min(c for c in capacities if c >= b["used"]) for b in bins]
 
 
@@ -39,9 +47,10 @@ def test_packing_is_best_fit():
     rng = np.random.default_rng(3)
     for _ in range(30):
         lengths = sorted(rng.integers(1, 65, rng.integers(1, 80)).tolist(), reverse=True)
-        bins, offsets, sizes = packing.pack(lengths, (16, 32, 64))
-        want, want_sizes = plain_pack(lengths, (16, 32, 64))
-        assert list(zip(bins, offsets)) == want and sizes == want_sizes
+        for capacities in ((16, 32, 64), (20, 64), (64,)):
+            bins, offsets, sizes = packing.pack(lengths, capacities)
+            want, want_sizes = plain_pack(lengths, capacities)
+            assert list(zip(bins, offsets)) == want and sizes == want_sizes
 
 
 def test_packed_documents_are_whole(spark):
@@ -153,9 +162,11 @@ def near_texts(rng, groups=8, copies=12):
     return out
 
 
-@pytest.mark.parametrize(("words", "percent"), [(3, 90), (5, 80), (2, 60)])
-def test_join_finds_every_link(spark, words, percent, monkeypatch):
+@pytest.mark.parametrize(("words", "percent", "few"), [(3, 90, 1_000_000), (5, 80, 0), (2, 60, 0)])
+def test_join_finds_every_link(spark, words, percent, few, monkeypatch):
     texts = near_texts(np.random.default_rng(percent))
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", few)  # the list of classes to verify is broadcast, or shuffled
+    monkeypatch.setattr(jaccard_join, "LEAST_HEAVY", 4)  # so that some tokens are heavy
     texts += texts[:5] + ["", "a b", "A B"]
     monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 7)  # so that groups are dealt out as block pairs
     sets = []
@@ -181,6 +192,32 @@ def test_join_finds_every_link(spark, words, percent, monkeypatch):
     assert got == {i: (len(sets[i]), root[i], len(links[i])) for i in range(len(texts))}
 
 
+def test_several_texts_under_one_id(spark):
+    """Rows of one id are sets of their own, whatever their order and sizes."""
+    a, b = [f"a{i}" for i in range(90)], [f"b{i}" for i in range(30)]
+    rows = [(3, " ".join(a)), (3, " ".join(b)), (1, " ".join([*a, "x"])), (2, " ".join([*b, "y"])), (3, " ".join([*b, "z"])), (3, "short"), (3, None), (None, " ".join(a))]
+    want = sorted([(3, 88, 1, 1), (3, 28, 2, 2), (1, 89, 1, 1), (2, 29, 2, 2), (3, 29, 2, 2), (3, 1, 3, 0), (3, 0, 3, 0)])
+    got = [(r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()]
+    assert sorted(x for x in got if x[0] is not None) == want and [x for x in got if x[0] is None] == [(None, 88, None, 0)]
+
+
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_skipped_postings_link_nothing(percent):
+    """Every pair of sets of different groups that may be similar by sizes and positions is kept, through any cut into batches."""
+    rng = np.random.default_rng(percent)
+    for _ in range(60):
+        rows = [(int(rng.integers(0, 4)), int(n := rng.integers(1, 40)), int(rng.integers(0, n - jaccard_join.needed(n, percent) + 1)), m, int(rng.integers(0, 3))) for m in range(int(rng.integers(1, 60)))]
+        rows = sorted(rows)
+        cuts = sorted({0, len(rows), *rng.integers(0, len(rows), 4).tolist()})
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[lo:hi]], pa.int64()) for c in range(5)], ["token", "n", "place", "m", "group"]) for lo, hi in zip(cuts, cuts[1:])]
+        kept = {m for b in jaccard_join._skip(percent)(iter(batches)) for m in b.column("m").to_pylist()}
+        for x, y in itertools.combinations(rows, 2):
+            if x[0] == y[0] and x[4] != y[4]:
+                share = 1 + min(x[1] - x[2] - 1, y[1] - y[2] - 1)
+                if 100 * min(x[1], y[1]) >= percent * max(x[1], y[1]) and (100 + percent) * share >= percent * (x[1] + y[1]):
+                    assert {x[3], y[3]} <= kept
+
+
 def test_repeated_rows_count_once_each(spark):
     base = [f"w{i}" for i in range(80)]
     near, other = " ".join([*base, "x"]), " ".join([*base, "y"])
@@ -227,6 +264,64 @@ def test_ordinal_fit_recovers_order():
     assert np.corrcoef(expected, grade)[0, 1] > 0.8
 
 
+def test_ordinal_fit_is_the_most_likely():
+    """The penalised likelihood, written out, falls in every direction from the fitted parameters."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 3))
+    grade = np.digitize(x @ [1.5, -1.0, 0.3] + rng.logistic(size=300), [-1.0, 1.0])
+    doc, slot = np.repeat(np.arange(300), 3), np.tile([0, 1, 2], 300)
+    m = quality_model.fit_arrays(doc, slot, x.ravel(), grade, rounds=3000)
+
+    def loss(w, theta):
+        at_most = 1 / (1 + np.exp(-(np.concatenate([[-np.inf], theta, [np.inf]])[None, :] - (x @ w)[:, None])))
+        return -np.log([at_most[i, y + 1] - at_most[i, y] for i, y in enumerate(grade)]).mean()
+
+    best = loss(m.weights[:3], m.thresholds)
+    for k in range(5):
+        for step in (-0.05, 0.05):
+            w, t = m.weights[:3].copy(), m.thresholds.copy()
+            (w if k < 3 else t)[k % 3] += step
+            assert loss(w, t) > best
+    assert np.allclose(m.weights[:3], [1.5, -1.0, 0.3], atol=0.35)
+
+
+def test_scores_follow_from_marks_and_weights(spark):
+    """Marks and shares of some texts, counted with regular expressions, give the scores by the formula."""
+    texts = ["Hello hello WORLD again, beautiful beautiful weather 12% | x", "ünïcode straße straße", "", None, "!!", "a b c d e f g " * 30]
+    rng = np.random.default_rng(6)
+    model = quality_model.OrdinalModel(rng.normal(size=1 << quality_model.BITS), np.array([-0.5, 0.8]))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.expected_grade, r.tail_probability) for r in quality_model.score_documents(d, model, 2).collect()}
+
+    def slot(data, salt=0):
+        h = quality_model.span_hash(np.frombuffer(data, np.uint8), np.array([0]), np.array([len(data)])) ^ np.uint64(salt)
+        return max(int(h[0] >> np.uint64(64 - quality_model.BITS)), 6)
+
+    for i, text in enumerate(texts):
+        raw = (text or "").encode()
+        words = re.findall(rb"[0-9a-z\x80-\xff]+", raw.lower())
+        if not raw.strip():
+            assert got[i] == (0, 0)
+            continue
+        n = max(len(words), 1)
+        marks = {slot(w) for w in words} | {slot(w[:k], k * 0x9E3779B97F4A7C15 % (1 << 64)) for w in words for k in (5, 7) if len(w) > k}
+        letters = max(len(re.findall(rb"[A-Za-z]", raw)), 1)
+        shares = [len(re.findall(rb"[#*$%&<>!=@~^_]", raw)) / n, len(re.findall(rb"[A-Z]", raw)) / letters, sum(a == b for a, b in zip(words, words[1:])) / n, raw.count(b"|") / n, len(re.findall(rb"[0-9]", raw)) / len(raw), sum(words.count(w) > 1 for w in words) / n]
+        score = sum(model.weights[m] for m in marks) + sum(4 * min(x, 1) * model.weights[k] for k, x in enumerate(shares))
+        tails = 1 / (1 + np.exp(-(score - model.thresholds)))
+        assert got[i] == (pytest.approx(tails.sum()), pytest.approx(tails[1]))
+
+
+def test_quality_on_empty_tables_and_null_ids(spark):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    none = spark.createDataFrame([], "doc_id long, text string, rated string, grade string")
+    assert quality_model.fit(none, labels, F.expr(q.GRADE)) is None
+    assert quality_model.score_documents(none, None, 2).count() == quality_model.select_documents(none, None, 2).count() == 0
+    docs = spark.createDataFrame([(None, "a b"), (None, None), (1, "a b"), (2, "c d")], "doc_id long, text string")
+    got = quality_model.score_documents(docs, quality_model.fit(docs, labels, F.expr(q.GRADE)), 2).toPandas()
+    assert got.doc_id.isna().sum() == 2 and got.expected_grade.between(0, 2).all()
+
+
 def test_quality_without_ratings_and_odd_rows(spark, tmp_path):
     docs = spark.read.parquet(odd_folder(spark, tmp_path) + "/documents.parquet")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -330,6 +425,50 @@ def test_field_adds_distant_repeats(spark):
     assert redacted[1].count("[PHONE]") == 2 and "555-7714" in redacted[1]
 
 
+def test_field_finds_planted_repeats_and_leaves_others_alone(spark):
+    """Repeats and similar forms of an entity, far from it, against numbers that are one digit off or unrelated."""
+    rng = np.random.default_rng(11)
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    filler = lambda n: " ".join(str(rng.choice(["alpha", "report", "value", digits(6)], p=[0.5, 0.3, 0.1, 0.1])) for _ in range(n))
+    rows, planted = [], {}
+    for i in range(240):
+        a, b, c = digits(3), digits(3), digits(4)
+        mail = f"{rng.choice(['ann', 'bob'])}.{a}x@mail.example.com"
+        entity, again, same = [
+            (f"+1 ({a}) {b}-{c}", f"{b}-{c}", True), (f"+1 ({a}) {b}-{c}", f"{a}-{b}-{c}", True), (mail, mail[: mail.index(".example")], True), (mail, mail.replace(".", "", 1)[: mail.index(".example") - 1], True),
+            (f"+1 ({a}) {b}-{c}", f"{b}-{c[:3]}{(int(c[3]) + 1) % 10}", False), (mail, f"{digits(3)}-{digits(4)}", False),
+        ][i % 6]
+        text = f"{filler(20)} reach {entity} now {filler(40)} again "
+        planted[i] = (len(text), len(text) + len(again), same)
+        rows.append((i, f"{text}{again} there {filler(20)}"))
+    hit = {True: 0, False: 0}
+    other = 0
+    for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        lo, hi, same = planted[r.doc_id]
+        base = set(base_by_expressions(rows[r.doc_id][1]))
+        added = [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s not in base]
+        hit[same] += any(s < hi and e > lo for s, e in added)
+        other += sum(not (s < hi and e > lo) for s, e in added)
+    assert hit[True] >= 0.95 * 160 and hit[False] == 0 and other == 0
+
+
+@pytest.mark.parametrize("text", ["7" * 400_000, "1." * 200_000, "eyJ" * 150_000 + ".eyJ" + "a" * 100_000, "+1" * 100_000, "a@" * 100_000, "token " * 50_000 + "=" * 50_000])
+def test_long_runs_take_no_longer_than_their_length(spark, text):
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.monotonic()
+    pii.find_pii(d).collect()
+    secrets.scan_secrets(d).collect()
+    assert time.monotonic() - start < 30
+
+
+def test_web_tokens_equal_their_expression():
+    rng = np.random.default_rng(8)
+    rule = next(r for r in secrets.ADDED if r.kind == "jwt")
+    for _ in range(3000):
+        text = "".join(rng.choice(["eyJ", "eyJabcdefgh", ".", "abcdefgh", " ", "_", "x", ".eyJabcdefghi", "é"], rng.integers(1, 12)))
+        assert list(secrets.web_tokens(text)) == [m.span() for m in re.finditer(rule.pattern, text, rule.flags)]
+
+
 def test_messages_are_exact_on_a_tree():
     rng = np.random.default_rng(2)
     unary, pot = rng.normal(size=(4, 3)), rng.normal(size=(1, 3, 3))
