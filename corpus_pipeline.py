@@ -2,6 +2,10 @@
 
 run() writes every stage's result as Parquet in the shared folder and reads it back, so that a stage is not computed twice and
 survives the loss of executors. All stages but the last return the columns of documents.
+
+Cases, for every stage: an empty table gives an empty result; further columns are passed on by all stages but the last, whatever
+their names; texts are whole, however long. Rows with a null id take part: they are never copies of anything, and are sampled and
+packed as one id. Rows that repeat id and text are one row from the second stage on.
 """
 
 from __future__ import annotations
@@ -20,14 +24,21 @@ MARKS = 1_000_000
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of the best grade stay; the model is fitted on the rated ones among the stage's own input."""
+    """Documents of the best grade stay; the model is fitted on the rated ones among the stage's own input.
+
+    Null, empty and wordless texts go; without ratings all others stay. A document at the limit of 0.5 stays.
+    """
     prepare(spark)
     model = quality_model.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.expr(GRADE))
     return quality_model.select_documents(docs, model, TAIL, LEAST)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, similarity 0.8 or more) the document with the smallest id stays; rows that repeat id and text count once."""
+    """Of each group of near copies (five words, similarity 0.8 or more) the document with the smallest id stays; rows that repeat id and text count once.
+
+    Null and empty texts are copies of nothing. If several texts of a group have the smallest id, all of these stay; if an id has
+    several texts of which one is a copy of a smaller id, all rows of that id go.
+    """
     prepare(spark)
     joined = jaccard_join.jaccard_join(docs, words=5, percent=80)
     others = joined.where("component_id <> doc_id").select("doc_id").distinct()
@@ -42,19 +53,22 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind; n_chars follows the text."""
+    """Personal data is replaced by its kind; n_chars follows the text. Null and empty texts stay as they are."""
     prepare(spark)
     out = pii.redact_pii(docs)
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else out
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample by the target shares of sources, languages and topics."""
+    """A sample by the target shares of sources, languages and topics.
+
+    A null source or language is a value of its own; languages that are not in the targets go, as do texts without words.
+    """
     return mixing.sample_mixture(docs, F.expr(N_WORDS), mixing_dims(), TARGETS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The places of all documents in training sequences."""
+    """The places of all documents in training sequences; those without words have a row without a place. Ties go by id and piece."""
     prepare(spark)
     return packing.pack_documents(docs, F.expr(N_WORDS), spread=F.col("text"))
 
