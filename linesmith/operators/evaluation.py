@@ -7,14 +7,35 @@ from pyspark.sql import functions as F
 
 from linesmith.functions import text as X
 
-
-def verdicts(rows: DataFrame, related: Column | None = None) -> DataFrame:
-    """line_id, field, match (yes, no, skip) and conf. rows: *_label, *_pred and *_conf of mfr, part and unspsc."""
-    blank = lambda c: ~X.is_present(F.col(c)) | F.trim(c).isin("-", "nan")
-    generic = F.upper(F.trim("mfr_label")) == "GENERIC"
-    fits = lambda a, b: X.prefix_or_suffix(F.upper(a), F.coalesce(F.upper(b), F.lit("~")))
-    mfr = F.when(blank("mfr_label"), "skip").when(fits(F.col("mfr_label"), F.col("mfr_pred")) | F.coalesce(related, F.lit(False)) if related is not None else fits(F.col("mfr_label"), F.col("mfr_pred")), "yes").otherwise("no")
-    part = F.when(blank("part_label") | F.coalesce(generic, F.lit(False)), "skip").when(fits(X.alphanumeric(F.col("part_label")), X.alphanumeric(F.col("part_pred"))), "yes").otherwise("no")
+from .catalog import relationship
+
+
+# Names that are no manufacturer, so that they are not compared.
+NOT_COMPARED = ("GENERIC - OTHER", "GENERIC CONDUIT", "GENERIC CONDUIT FITTINGS", "GENERIC CONDUIT/CONDUIT FITTINGS", "GENERIC LIGHTING", "GENERIC WIRE")
+
+
+def verdicts(rows: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """line_id, field, match (yes, no, skip) and conf. rows: *_label, *_pred and *_conf of mfr, part and unspsc.
+
+    Names match if they are equal, or if their clean forms are prefix or suffix of one another or related by ownership; listed
+    generic names are skipped. Parts are compared without marks, and skipped if either name is generic. Codes are compared by
+    six digits. An empty label is skipped.
+    """
+    d = dictionary.select("key", "clean_name", "parent_name")
+    for side in ("label", "pred"):
+        c = d.select(F.col("key").alias(f"__k_{side}"), F.col("clean_name").alias(f"__c_{side}"), F.col("parent_name").alias(f"__p_{side}"))
+        rows = rows.join(c, X.name_key(F.col(f"mfr_{side}")) == F.col(f"__k_{side}"), "left").withColumn(f"__c_{side}", F.coalesce(f"__c_{side}", f"mfr_{side}"))
+    label, pred = F.col("mfr_label"), F.col("mfr_pred")
+    fits = lambda a, b: F.coalesce(X.prefix_or_suffix(a, b), F.lit(False))
+    related = relationship(F.col("__c_label"), F.col("__c_pred"), F.col("__p_label"), F.col("__p_pred")) != "NOT_EQUIVALENT"
+    listed = F.coalesce(label.isin(*NOT_COMPARED), F.lit(False)) | F.coalesce(pred.isin(*NOT_COMPARED), F.lit(False))
+    empty = F.coalesce(label, F.lit("")) == ""
+    mfr = F.when(listed, "skip").when(F.coalesce(label == pred, F.lit(False)) & ~empty, "yes").when(empty, "skip").when(fits(F.col("__c_label"), F.col("__c_pred")) | related, "yes").otherwise("no")
+    generic = F.lit(False)
+    for c in (label, pred, F.col("__c_pred")):
+        generic = generic | F.coalesce(F.contains(F.upper(c), F.lit("GENERIC")), F.lit(False))
+    bare = lambda c: F.regexp_replace(F.trim(c), "[^A-Za-z0-9 ]", "")
+    part = F.when(generic | (F.coalesce(bare(F.col("part_label")), F.lit("")) == ""), "skip").when(fits(bare(F.col("part_label")), bare(F.col("part_pred"))), "yes").otherwise("no")
     code = X.code_match(F.col("unspsc_label"), F.col("unspsc_pred"), 6)
     one = lambda name, match: F.struct(F.lit(name).alias("field"), match.alias("match"), F.col(f"{name}_conf").alias("conf"))
     return rows.select("line_id", F.explode(F.array(one("mfr", mfr), one("part", part), one("unspsc", code))).alias("v")).select("line_id", "v.*")

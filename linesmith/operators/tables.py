@@ -67,6 +67,37 @@ def patch_nested(docs: DataFrame, patches: DataFrame, key: str, struct: str, fie
     return out.withColumn(struct, patched.dropFields(*drop) if drop else patched).drop("__p")
 
 
+def patch_paths(docs: DataFrame, patches: DataFrame, key: str, replace: dict[str, str], append: dict[str, str], drop: list[str]) -> DataFrame:
+    """Patches of documents at paths (column.field, or a column): values are set or added, values are appended to lists, fields are removed.
+
+    replace and append name the columns of patches (one row per key) with the values. A path that is set need not exist in its
+    struct, which then has it for all documents, null where nothing was set. A null list gets a list of the one value. Only
+    patched documents change, but for a removed field, which all of them lose, as they share one schema.
+    """
+    out = docs.join(patches.select(key, F.struct(*{*replace.values(), *append.values()}).alias("__p")), key, "left")
+    hit = F.col("__p").isNotNull()
+    fields = {c: set(docs.schema[c].dataType.names) for c in docs.columns if hasattr(docs.schema[c].dataType, "names")}
+
+    def at(path: str) -> Column:
+        column, _, field = path.partition(".")
+        known = not field or field in fields[column]
+        return F.col(path) if known else F.lit(None)
+
+    def put(df: DataFrame, path: str, value: Column) -> DataFrame:
+        column, _, field = path.partition(".")
+        return df.withColumn(column, F.col(column).withField(field, value) if field else value)
+
+    for path, source in replace.items():
+        out = put(out, path, F.when(hit, F.col(f"__p.{source}")).otherwise(at(path)))
+    for path, source in append.items():
+        one = F.array(F.col(f"__p.{source}"))
+        out = put(out, path, F.when(hit, F.coalesce(F.concat(at(path), one), one)).otherwise(at(path)))
+    for path in drop:
+        column, _, field = path.partition(".")
+        out = out.withColumn(column, F.col(column).dropFields(field)) if field else out.drop(column)
+    return out.drop("__p")
+
+
 def sparse_update(target: DataFrame, updates: DataFrame, key: str, columns: list[str], audit: dict[str, Column] | None = None) -> DataFrame:
     """Each column is replaced where the update has a value; the audit columns are stamped on every row that is updated."""
     u = updates.select(key, F.struct(*columns).alias("__u"))
@@ -113,6 +144,16 @@ def feed_items(feed: DataFrame, items: DataFrame, strict: bool = False) -> DataF
     return feed.join(items.select("upc", "own_part_num"), "upc", "left").where("own_part_num IS NULL").drop("own_part_num").select(*feed.columns)
 
 
+def feed_descriptions(feed: DataFrame, items: DataFrame, version: str, source: str) -> DataFrame:
+    """Second step of the load: the descriptions of a feed (upc, code, part, desc_id, descr), each for every item of its UPC.
+
+    Rows without a code, or with a part number of four characters or fewer, are left out.
+    """
+    rows = feed.where((F.length("part") > 4) & F.col("code").isNotNull()).select("upc", F.col("desc_id").alias("source_rec_id"), F.col("descr").alias("description"))
+    out = rows.join(items.select("item_id", "upc"), "upc")
+    return out.select("item_id", F.lit(source).alias("source_name"), "source_rec_id", "description", F.lit(version).alias("train_version"), F.lit("Y").alias("active"))
+
+
 def log_documents(lines: DataFrame, request: Column, line: Column, parts: dict[str, list[str]]) -> DataFrame:
     """Nested log documents with the id request-line."""
     return lines.select(F.concat_ws("-", request, line).alias("id"), *(F.struct(*c).alias(n) for n, c in parts.items()))

@@ -63,6 +63,16 @@ def s09_patch_nested(t: Fixtures) -> DataFrame:
     return T.patch_nested(docs, patches, "id", "state", ["status", "retry_count"], ["updated_s"]).select("id", "state.status", F.col("state.retry_count").alias("retries"))
 
 
+@P.query("jobs", sql="SELECT id, CASE WHEN created_no % 4 = 0 THEN 'reset' ELSE status END AS status, CASE WHEN created_no % 4 = 0 THEN created_no END AS added, CAST(CASE WHEN created_no % 4 <> 0 THEN created_no % 3 WHEN created_no % 3 = 0 THEN 1 ELSE created_no % 3 + 1 END AS INT) AS n, CASE WHEN created_no % 4 = 0 THEN created_no WHEN created_no % 3 > 0 THEN 7 END AS last FROM jobs")
+def s09_patch_paths(t: Fixtures) -> DataFrame:
+    """Values set, added to a struct, appended to a list and removed at paths of documents."""
+    lists = F.expr("CASE CAST(created_no % 3 AS INT) WHEN 0 THEN CAST(NULL AS array<bigint>) WHEN 1 THEN array(7L) ELSE array(6L, 7L) END")
+    docs = t.jobs.select("id", F.struct("status", "updated_s").alias("state"), lists.alias("seen"))
+    patches = t.jobs.where("created_no % 4 = 0").select("id", F.lit("reset").alias("s"), F.col("created_no").cast("long").alias("c"))
+    out = T.patch_paths(docs, patches, "id", {"state.status": "s", "state.added": "c"}, {"seen": "c"}, ["state.updated_s"])
+    return out.select("id", "state.*", F.coalesce(F.array_size("seen"), F.lit(0)).alias("n"), F.try_element_at("seen", F.lit(-1)).alias("last"))
+
+
 @P.query(
     "invoice_lines",
     sql="""SELECT line_id, CASE WHEN line_id % 2 = 0 AND line_id % 4 <> 0 THEN 'M' || line_id ELSE mfr_name END AS mfr_name, CASE WHEN line_id % 2 = 0 AND line_id % 3 = 0 THEN 'P' ELSE mfr_part_num END AS mfr_part_num,
@@ -76,8 +86,8 @@ def s10_sparse_update(t: Fixtures) -> DataFrame:
 
 @P.query(
     "stage_results",
-    sql="""SELECT coalesce(s.line_id, t.line_id) AS line_id, CAST(coalesce(s.conf_mfr, t.conf_mfr) AS INT) AS conf_mfr, coalesce('AI-' || s.stage_name, 'AI-' || t.stage_name) AS step_nm
-      FROM (SELECT * FROM stage_results WHERE stage_no = 1 AND line_id % 3 <> 0) t FULL JOIN (SELECT * FROM stage_results WHERE stage_no = 2 AND line_id % 3 <> 1) s USING (line_id)""".replace("coalesce(s.line_id, t.line_id) AS line_id", "line_id"),
+    sql="""SELECT line_id, CAST(coalesce(max(conf_mfr) FILTER (stage_no = 2), max(conf_mfr)) AS INT) AS conf_mfr, 'AI-' || coalesce(max(stage_name) FILTER (stage_no = 2), max(stage_name)) AS step_nm
+      FROM stage_results WHERE (stage_no = 1 AND line_id % 3 <> 0) OR (stage_no = 2 AND line_id % 3 <> 1) GROUP BY line_id""",
 )
 def s11_merge_tracking(t: Fixtures) -> DataFrame:
     rows = t.stage_results.select("line_id", F.col("conf_mfr").cast("int").alias("conf_mfr"), F.concat(F.lit("AI-"), "stage_name").alias("step_nm"), "stage_no")
@@ -113,6 +123,12 @@ def s16_catalog_load(t: Fixtures) -> DataFrame:
     return loose.select(F.lit("loose").alias("form"), "part", "upc").unionByName(strict.select(F.lit("strict").alias("form"), "part", "upc"))
 
 
+@P.query("items", sql=f", feed AS ({_FEED}) SELECT i.item_id, 'FEED' AS source_name, 'D' || f.part AS source_rec_id, f.name || ' ' || f.part AS description, '2025-1' AS train_version, 'Y' AS active FROM feed f JOIN items i ON i.upc = f.upc WHERE length(f.part) > 4 AND f.code IS NOT NULL")
+def s16_feed_descriptions(t: Fixtures) -> DataFrame:
+    feed = t.items.where("item_id % 2 = 0").selectExpr("mfr_part_num AS part", "CASE WHEN item_id % 5 = 0 THEN concat('U', item_id) ELSE upc END AS upc", "unspsc AS code", "concat('D', mfr_part_num) AS desc_id", "concat(mfr_name, ' ', mfr_part_num) AS descr")
+    return T.feed_descriptions(feed, t.items, "2025-1", "FEED")
+
+
 @P.query("invoice_lines", sql="SELECT header_id || '-' || line_id AS id, description AS text, line_status AS status, '{' || array_to_string(list_filter(['\"item_id\":' || item_id, '\"upc\":\"' || upc || '\"'], lambda x: x IS NOT NULL), ',') || '}' AS payload FROM invoice_lines")
 def s17_s19_log_documents(t: Fixtures) -> DataFrame:
     docs = T.log_documents(t.invoice_lines, F.col("header_id"), F.col("line_id"), {"line": ["description", "line_status"], "output": ["item_id", "upc"]})

@@ -1,5 +1,6 @@
 """Values and rules typed by hand from the documented behaviour, apart from the queries' own SQL."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,3 +108,46 @@ def test_duplicate_lines_with_nulls(spark):
     got = {r.line_id: (r.first_line, r.others) for r in K.duplicate_lines(d, ["k", "j"]).collect()}
     assert got == {1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (4, 0)}
     assert K.duplicate_lines(d.where("false"), ["k", "j"]).count() == 0
+
+
+def test_hashed_neighbours_find_nearly_all_pairs(spark):
+    from linesmith.operators import vectors as V
+    from linesmith.plans.vector_plans import item_vectors, mixed_queries
+    from linesmith.sources.fixtures import Fixtures
+
+    from .conftest import SF
+
+    t = Fixtures(spark, SF)
+    q, v = mixed_queries(t).toPandas(), item_vectors(t).select("desc_id", "vec").toPandas()
+    unit = lambda s: (lambda m: m / np.linalg.norm(m, axis=1, keepdims=True))(np.stack(s.to_numpy()).astype(float))
+    score = unit(q.vec) @ unit(v.vec).T
+    want = {(int(q.query_id[i]), int(v.desc_id[j])) for i, j in zip(*np.nonzero(score >= 0.755))}
+    got = {(r.query_id, r.desc_id) for r in V.hashed_neighbours(mixed_queries(t), item_vectors(t), 0.755).collect()}
+    assert got <= want and len(got) >= 0.95 * len(want) and len(want) > 400
+
+
+def test_verdicts_by_clean_names_and_ownership(spark):
+    d = spark.createDataFrame([("ACMEINC", "ACME", "BIG"), ("BETA", "BETA", "BIG"), ("BIG", "BIG", None), ("GENWIRE", "GENERIC WIRE", None)], "key string, clean_name string, parent_name string")
+    rows = [(1, "ACME INC", "ACME", "A-1", "A1"), (2, "ACME INC", "BETA", "A-1 B", "Z"), (3, "ACME INC", "OTHER", "", "x"), (4, "", "ACME", None, None), (5, "X", "GEN WIRE", "A", "A"), (6, "GENERIC WIRE", "ACME", "A", "A"), (7, "ACME INC", None, "A", "AB")]
+    t = spark.createDataFrame([(i, m, p, 1, a, b, 1, "39101112", "39101199", 1) for i, m, p, a, b in rows], "line_id long, mfr_label string, mfr_pred string, mfr_conf int, part_label string, part_pred string, part_conf int, unspsc_label string, unspsc_pred string, unspsc_conf int")
+    got = {(r.line_id, r.field): r.match for r in E.verdicts(t, d).collect()}
+    assert [got[i, "mfr"] for i in range(1, 8)] == ["yes", "yes", "no", "skip", "no", "skip", "no"]
+    assert [got[i, "part"] for i in range(1, 8)] == ["yes", "no", "skip", "skip", "skip", "skip", "yes"]
+    assert all(got[i, "unspsc"] == "yes" for i in range(1, 8))
+
+
+def test_training_sets_need_rows_enough(spark):
+    from linesmith.operators import training as R
+
+    rows = spark.createDataFrame([(i, f"text {i}", "NEW" if i % 2 else "FT_PROGRESS", "Y", "a") for i in range(40)], "desc_id long, description string, train_version string, active string, answer string")
+    line = len('{"messages":[{"role":"system","content":"S"},{"role":"user","content":"text 11"},{"role":"assistant","content":"a"}]}') + 1
+    assert R.fine_tune_set(rows, "S", F.col("answer"), "s", least=21).count() == 0
+    assert R.fine_tune_set(rows, "S", F.col("answer"), "s", least=20).count() == 20
+    few = R.fine_tune_set(rows, "S", F.col("answer"), "s", least=20, most_bytes=5 * line)
+    assert few.count() == 5
+    sent = R.in_progress(rows.select("desc_id", "train_version"), few)
+    assert sent.where("train_version = 'FT_PROGRESS'").count() == 25
+    assert R.after_training(sent, True, 2026).where("train_version = '2026-1'").count() == 25
+    assert R.after_training(sent, False, 2026).where("train_version = 'NEW'").count() == 40
+    prepared = spark.createDataFrame([(1, "NEW"), (2, "USED")], "uid long, version string")
+    assert R.enough_new(prepared, 1).count() == 2 and R.enough_new(prepared, 2).count() == 0
