@@ -40,12 +40,21 @@ def test_odd_rows_equal_sql(name, spark, tmp_path):
     assert table_of(q.QUERIES[name](spark, folder).toPandas()) == table_of(c.sql(q.SQL[name]).df())
 
 
-@pytest.mark.parametrize("name", [n for n in q.QUERIES if n not in ("op5_quality_classifier", "op6_vector_graph")])
+ROWWISE = [n for n in q.QUERIES if n.startswith("op") and n not in ("op5_quality_classifier", "op6_vector_graph")]
+
+
+@pytest.mark.parametrize("name", ROWWISE)
 def test_empty_table(name, spark, tmp_path):
     assert q.QUERIES[name](spark, odd_folder(spark, tmp_path, [])).count() == 0
 
 
-@pytest.mark.parametrize("name", [n for n in q.QUERIES if n not in ("op5_quality_classifier", "op6_vector_graph", "op1_best_fit_packing")])
+def test_reports_on_an_empty_ledger(spark, tmp_path):
+    folder = odd_folder(spark, tmp_path, [])
+    assert {(r.documents, r.kept, r.unlike_base) for r in q.QUERIES["quality_rules_versions"](spark, folder).collect()} == {(0, 0, 0)}
+    assert {(r.rejected, r.failed, r.alone) for r in q.QUERIES["quality_rules_ablation"](spark, folder).collect()} == {(0, 0, 0)}
+
+
+@pytest.mark.parametrize("name", [n for n in ROWWISE if n != "op1_best_fit_packing"])
 def test_null_ids_keep_their_rows(name, spark, tmp_path):
     rows = [(None, LONG, "en", "a"), (None, None, None, None), (None, LONG, "en", "a"), (3, LONG, "en", "a"), (3, "other", "en", "a")]
     assert q.QUERIES[name](spark, odd_folder(spark, tmp_path, rows)).count() == len(rows)
