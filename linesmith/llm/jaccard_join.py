@@ -532,7 +532,7 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     of_set = Window.partitionBy("m")
     light = F.count_if((F.col("token") >= 0) & (F.col("token") < int(low_share(percent) * 2.0**TOKEN_BITS)))
     slack = F.col("n") - F.expr(f"(n * {percent} + 99) div 100")
-    left = shared.join(classes.groupBy("m").agg(F.max("n").alias("n"), F.max("low").alias("low")), "m")
+    left = shared.join(classes.groupBy("m").agg(F.max("n").alias("n"), F.min("low").alias("low")), "m")
     left = left.withColumn("shared", light.over(of_set)).where(F.col("low") - F.col("shared") <= slack).where(F.col("place") <= slack)
     left = left.withColumn("rank", F.row_number().over(of_set.orderBy("place")))
     left = scratch.stored(left.select("token", "n", "place", "m", "rank"))
@@ -548,7 +548,9 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     scratch.drop(leaders)
 
     labelled = left.join(groups.withColumnRenamed("u", "m"), "m", "left").select("token", "n", "place", "m", F.coalesce("root", "m").alias("group"))
-    lists = labelled.repartition("token").sortWithinPartitions("token", "n", "place", "m").mapInArrow(_skip(percent), "run long, m long, n long")
+    # Lists of one group are found by partial sums and never brought together; a hot token is split by the join.
+    mixed = labelled.groupBy("token").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least <> most").select("token")
+    lists = labelled.join(mixed, "token", "left_semi").repartition("token").sortWithinPartitions("token", "n", "place", "m").mapInArrow(_skip(percent), "run long, m long, n long")
     links = _with_maps(lists, maps).repartition("run").sortWithinPartitions("run", "n", "m").mapInArrow(_gather(percent), "a long, b long")
     near = components(links.unionByName(groups.select(F.col("u").alias("a"), F.col("root").alias("b"))))
     scratch.drop(left, maps)
