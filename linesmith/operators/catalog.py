@@ -60,10 +60,11 @@ def relationship(a: Column, b: Column, parent_a: Column, parent_b: Column) -> Co
 
 def snapshot_diff(source: DataFrame, index: DataFrame) -> DataFrame:
     """What brings an index up to date. Both have item_id, desc_id, item_modified and desc_modified; source also what is embedded."""
-    i = index.select("item_id", "desc_id", F.col("item_modified").alias("__im"), F.col("desc_modified").alias("__dm"))
-    out = source.join(i, ["item_id", "desc_id"], "full_outer")
-    gone, new = F.col("item_modified").isNull(), F.col("__im").isNull()
-    newer = lambda a, b: F.col(a) > F.col(b)
+    i = index.select("item_id", "desc_id", F.col("item_modified").alias("__im"), F.col("desc_modified").alias("__dm"), F.lit(True).alias("__i"))
+    s = source.select("item_id", "desc_id", "item_modified", "desc_modified", F.lit(True).alias("__s"))
+    out = s.join(i, ["item_id", "desc_id"], "full_outer")
+    gone, new = F.col("__s").isNull(), F.col("__i").isNull()
+    newer = lambda a, b: F.coalesce(F.col(a) > F.col(b), F.lit(False))  # noqa: E731  a time that is not known is not newer
     action = F.when(gone, "delete").when(new, "create").when(newer("desc_modified", "__dm"), "update_description").when(newer("item_modified", "__im"), "update_item").otherwise("keep")
     return out.select("item_id", "desc_id", action.alias("action"), (~gone & (new | newer("desc_modified", "__dm"))).alias("needs_embedding"))
 
