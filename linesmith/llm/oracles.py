@@ -160,6 +160,21 @@ SELECT doc_id, {counts}, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans,
 """
 
 
+OP11 = """
+WITH r AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+rows AS (SELECT id, label, v FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY label, v) = 1),
+scores AS (
+  SELECT a.id AS a, b.id AS b, a.label = b.label AS same, CASE WHEN len(a.v) = 0 THEN 0 ELSE CAST(list_inner_product(a.v, b.v) AS BIGINT) END AS s
+  FROM rows a JOIN rows b ON a.id <> b.id AND len(a.v) = len(b.v) WHERE a.id % 100 = 0),
+positive AS (SELECT a, b, s FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b) AS INTEGER) AS rank, n.b AS negative_id, p.s AS positive_score, n.s AS negative_score
+FROM positive p JOIN scores n ON n.a = p.a AND NOT n.same AND 30 * CAST(p.s AS HUGEINT) <= 100 * CAST(n.s AS HUGEINT) AND 100 * CAST(n.s AS HUGEINT) <= 90 * CAST(p.s AS HUGEINT)
+QUALIFY row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b) <= 10
+"""
+
+
 def sql(topic: str, targets: dict) -> dict[str, str]:
     """The SQL of every query that has one."""
     length = {"assign": "length(regexp_extract(m, 'PATTERN', 2)) >= 6", "access": "length(m) >= 20"}
@@ -173,4 +188,5 @@ def sql(topic: str, targets: dict) -> dict[str, str]:
         "quality_rules_ablation": OP7 + ABLATION,
         "op8_secret_scan": _op8(rules, len(BASE)),
         "op10_substring_dedup": OP10,
+        "op11_hard_negatives": OP11,
     }

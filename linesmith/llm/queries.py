@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, jaccard_join, language, mixing, oracles, packing, passages, pii, quality_model, quality_rules, secrets
+from . import ann, jaccard_join, language, mixing, negatives, oracles, packing, passages, pii, quality_model, quality_rules, secrets
 from .shared import prepare
 
 
@@ -96,6 +96,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.remove_repeated_passages(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor (vec_id divisible by 100) and each of its five positives."""
+    label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END")
+    rows = negatives.candidates(_table(spark, sf_dir, "embeddings"), "vec_id", label, "embedding")
+    return negatives.mine(rows, F.expr("id % 100 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_source_mixing": op2_source_mixing,
@@ -109,5 +116,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_pii": op9_pii,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
 }
 SQL: dict[str, str] = oracles.sql(TOPIC, TARGETS)
