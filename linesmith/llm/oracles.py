@@ -175,6 +175,28 @@ QUALIFY row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b) <= 10
 """
 
 
+OP13 = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOW}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM d),
+g AS (
+  SELECT lang, array_to_string(ws[i:i+m-1], ' ') AS p, m, count(*) AS f
+  FROM (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w), (SELECT unnest(range(1, 5)) AS m) WHERE i + m - 1 <= len(ws) GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, p, m, f AS a, string_split(p, ' ') AS ws FROM g WHERE m > 1 AND f >= 30),
+cuts AS (SELECT lang, p, a, k, array_to_string(ws[1:k], ' ') AS x, array_to_string(ws[k+1:], ' ') AS y FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+scored AS (
+  SELECT cuts.lang, cuts.p, a, k, x.f AS l, y.f AS r, CAST(2000000::HUGEINT * a // (x.f::HUGEINT + y.f) AS BIGINT) AS score
+  FROM cuts JOIN g x ON x.lang = cuts.lang AND x.p = cuts.x JOIN g y ON y.lang = cuts.lang AND y.p = cuts.y
+  QUALIFY row_number() OVER (PARTITION BY cuts.lang, cuts.p ORDER BY CAST(2000000::HUGEINT * a // (x.f::HUGEINT + y.f) AS BIGINT), k) = 1),
+around AS (
+  SELECT lang, array_to_string(ws[i:i+s-1], ' ') AS p, max(a) AS most
+  FROM (SELECT *, unnest(range(1, m)) AS i FROM c), (SELECT unnest(range(2, 4)) AS s) WHERE s < m AND i + s - 1 <= m GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank, p AS phrase, a, l, r, n, score
+FROM scored LEFT JOIN around USING (lang, p) JOIN total USING (lang) WHERE most IS NULL OR 100 * most::HUGEINT < 80 * a::HUGEINT
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) <= 2000
+"""
+
+
 def sql(topic: str, targets: dict) -> dict[str, str]:
     """The SQL of every query that has one."""
     length = {"assign": "length(regexp_extract(m, 'PATTERN', 2)) >= 6", "access": "length(m) >= 20"}
@@ -189,4 +211,5 @@ def sql(topic: str, targets: dict) -> dict[str, str]:
         "op8_secret_scan": _op8(rules, len(BASE)),
         "op10_substring_dedup": OP10,
         "op11_hard_negatives": OP11,
+        "op13_collocations": OP13,
     }
