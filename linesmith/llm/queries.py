@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, jaccard_join, language, mixing, negatives, oracles, packing, passages, phrases, pii, quality_model, quality_rules, secrets
+from . import ann, jaccard_join, language, mixing, negatives, oracles, packing, pages, passages, phrases, pii, quality_model, quality_rules, secrets
 from .shared import prepare
 
 
@@ -103,6 +103,12 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(rows, F.expr("id % 100 = 0"))
 
 
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, by a labeller fitted on some of them."""
+    table = _table(spark, sf_dir, "pages")
+    return pages.extract(table, pages.learn(table), ("page_id", "url"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2000 strongest phrases of two to four words of every language."""
     return phrases.collocations(_table(spark, sf_dir, "documents"))
@@ -122,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_html_text": op12_html_text,
     "op13_collocations": op13_collocations,
 }
 SQL: dict[str, str] = oracles.sql(TOPIC, TARGETS)
