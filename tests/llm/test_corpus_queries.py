@@ -32,7 +32,7 @@ def test_equals_sql(name, spark, duck):
     assert table_of(q.QUERIES[name](spark, SF).toPandas()) == table_of(duck.sql(q.SQL[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(q.SQL))
+@pytest.mark.parametrize("name", sorted(set(q.SQL) - {"op11_hard_negatives"}))
 def test_odd_rows_equal_sql(name, spark, tmp_path):
     folder = odd_folder(spark, tmp_path)
     c = duckdb.connect()
@@ -40,7 +40,7 @@ def test_odd_rows_equal_sql(name, spark, tmp_path):
     assert table_of(q.QUERIES[name](spark, folder).toPandas()) == table_of(c.sql(q.SQL[name]).df())
 
 
-ROWWISE = [n for n in q.QUERIES if n.startswith("op") and n not in ("op5_quality_classifier", "op6_vector_graph")]
+ROWWISE = [n for n in q.QUERIES if n.startswith("op") and n not in ("op5_quality_classifier", "op6_vector_graph", "op11_hard_negatives", "op12_html_text", "op13_collocations")]
 
 
 @pytest.mark.parametrize("name", ROWWISE)
