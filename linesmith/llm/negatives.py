@@ -237,7 +237,8 @@ def _clustered(anchors: DataFrame, clusters: int) -> DataFrame:
     sample = anchors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()
     dims = pd.Series([len(r.v) for r in sample])
     dim = int(dims.mode()[0]) if len(dims) else 0
-    centres = fit_clusters(_unit(np.array([r.v for r in sample if len(r.v) == dim], np.float64).reshape(-1, dim))[0], clusters)
+    sample = [r.v for r in sample if len(r.v) == dim]
+    centres = fit_clusters(_unit(np.array(sample, np.float64).reshape(len(sample), dim))[0], clusters)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
