@@ -185,7 +185,7 @@ def boundary_class(text: Column, name: Column) -> Column:
     clear = lambda c, edge: edge | c.isin(" ", "(", ")", ",", ".")
     soft = lambda c: c.isin("-", "/", ".")
     first, last = clear(before, at == 1), clear(after, after == "")
-    return F.when((at == 0) | (_phrase(name) == ""), "INVALID").when(first & last, "WHOLE_WORD").when((first | soft(before)) & (last | soft(after)), "EMBEDDED").otherwise("INVALID")
+    return F.when((at == 0) | (_phrase(name) == ""), "INVALID").when(first & last, "WHOLE_WORD").when((first & soft(after)) | (soft(before) & last), "EMBEDDED").otherwise("INVALID")
 
 
 def similarity_points(s: Column, mid: float = 0.55) -> Column:

@@ -31,18 +31,24 @@ def known_already(lines: DataFrame, items: DataFrame) -> DataFrame:
 def manufacturer_dictionary(rows: DataFrame) -> DataFrame:
     """The dictionary by normalised name: clean name, parent, and whether it counts only at the beginning of a text.
 
-    Spellings come first (the last of equal ones in order of ordinal wins); then clean names, then parents, where they are not
-    keys yet. Rows whose indicator is N are left out; B means beginning only.
+    Rows whose indicator is N, or without a spelling or a clean name, are left out; names are trimmed and upper-cased. Spellings
+    come first (of a repeated one the last row in order of ordinal tells, at the place of its first), then clean names that are no
+    spelling (their first row tells), then parents that are neither. Of names with the same key the one that comes last wins.
     """
-    rows = rows.where("coalesce(match_indicator, '') <> 'N'")
-    owner = F.col("parent_name")
-    tiers = [
-        rows.select(F.col("unclean_name").alias("name"), "clean_name", owner, (F.coalesce("match_indicator", F.lit("")) == "B").alias("beginning"), F.lit(0).alias("tier"), "ordinal"),
-        rows.select(F.col("clean_name").alias("name"), "clean_name", owner, F.lit(False).alias("beginning"), F.lit(1).alias("tier"), "ordinal"),
-        rows.where("parent_name IS NOT NULL").select(owner.alias("name"), owner.alias("clean_name"), F.lit(None).cast("string").alias("parent_name"), F.lit(False).alias("beginning"), F.lit(2).alias("tier"), "ordinal"),
-    ]
-    every = tiers[0].unionByName(tiers[1]).unionByName(tiers[2]).withColumn("key", X.name_key(F.col("name")))
-    return first_per_key(every, ["key"], [F.asc("tier"), F.desc("ordinal"), F.asc("name")]).select("key", "name", "clean_name", "parent_name", "beginning", "tier")
+    said = lambda c: F.nullif(F.upper(F.trim(c)), F.lit(""))
+    indicator = F.upper(F.trim(F.coalesce("match_indicator", F.lit(""))))
+    rows = rows.where(F.coalesce("match_indicator", F.lit("")) != "N").select(said("unclean_name").alias("spelling"), said("clean_name").alias("clean_name"), said("parent_name").alias("parent_name"), (indicator == "B").alias("beginning"), "ordinal")
+    rows = rows.where("spelling IS NOT NULL AND clean_name IS NOT NULL")
+    place, row = F.min("ordinal").alias("place"), F.struct("ordinal", "clean_name", "parent_name", "beginning")
+    spellings = rows.groupBy(F.col("spelling").alias("name")).agg(place, F.max(row).alias("r")).select("name", "r.clean_name", "r.parent_name", "r.beginning", F.lit(0).alias("tier"), "place")
+    first = F.min(F.struct("ordinal", "parent_name")).alias("r")
+    clean = rows.groupBy(F.col("clean_name").alias("name")).agg(place, first).join(spellings.select("name"), "name", "left_anti")
+    clean = clean.select("name", F.col("name").alias("clean_name"), "r.parent_name", F.lit(False).alias("beginning"), F.lit(1).alias("tier"), "place")
+    parents = rows.where("parent_name IS NOT NULL").groupBy(F.col("parent_name").alias("name")).agg(place)
+    parents = parents.join(spellings.select("name"), "name", "left_anti").join(clean.select("name"), "name", "left_anti")
+    parents = parents.select("name", F.col("name").alias("clean_name"), F.col("name").alias("parent_name"), F.lit(False).alias("beginning"), F.lit(2).alias("tier"), "place")
+    every = spellings.unionByName(clean).unionByName(parents).withColumn("key", X.name_key(F.col("name")))
+    return first_per_key(every, ["key"], [F.desc("tier"), F.desc("place"), F.desc("name")]).select("key", "name", "clean_name", "parent_name", "beginning", "tier")
 
 
 def clean_names(rows: DataFrame, dictionary: DataFrame, name: str) -> DataFrame:

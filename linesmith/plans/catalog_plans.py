@@ -24,11 +24,13 @@ def key(c: str) -> str:
 
 #: The dictionary in SQL, after the view of manufacturers.
 DICTIONARY = f"""
-, tiers AS (
-  SELECT unclean_name AS name, clean_name, parent_name, coalesce(match_indicator, '') = 'B' AS beginning, 0 AS tier, ordinal FROM manufacturers WHERE coalesce(match_indicator, '') <> 'N'
-  UNION ALL SELECT clean_name, clean_name, parent_name, false, 1, ordinal FROM manufacturers WHERE coalesce(match_indicator, '') <> 'N'
-  UNION ALL SELECT parent_name, parent_name, NULL, false, 2, ordinal FROM manufacturers WHERE coalesce(match_indicator, '') <> 'N' AND parent_name IS NOT NULL),
-dictionary AS (SELECT {key('name')} AS key, name, clean_name, parent_name, beginning, tier FROM tiers QUALIFY row_number() OVER (PARTITION BY {key('name')} ORDER BY tier, ordinal DESC, name) = 1)"""
+, said AS (
+  SELECT upper(trim(unclean_name)) AS name, upper(trim(clean_name)) AS clean_name, nullif(upper(trim(parent_name)), '') AS parent_name, upper(trim(coalesce(match_indicator, ''))) = 'B' AS beginning, ordinal
+  FROM manufacturers WHERE coalesce(match_indicator, '') <> 'N' AND trim(unclean_name) <> '' AND trim(clean_name) <> ''),
+t0 AS (SELECT name, clean_name, parent_name, beginning, 0 AS tier, min(ordinal) OVER (PARTITION BY name) AS place FROM said QUALIFY row_number() OVER (PARTITION BY name ORDER BY ordinal DESC) = 1),
+t1 AS (SELECT clean_name AS name, clean_name, parent_name, false AS beginning, 1 AS tier, ordinal AS place FROM said WHERE clean_name NOT IN (SELECT name FROM t0) QUALIFY row_number() OVER (PARTITION BY clean_name ORDER BY ordinal) = 1),
+t2 AS (SELECT parent_name AS name, parent_name AS clean_name, parent_name, false AS beginning, 2 AS tier, min(ordinal) AS place FROM said WHERE parent_name IS NOT NULL AND parent_name NOT IN (SELECT name FROM t0) AND parent_name NOT IN (SELECT name FROM t1) GROUP BY parent_name),
+dictionary AS (SELECT {key('name')} AS key, name, clean_name, parent_name, beginning, tier FROM (FROM t0 UNION ALL FROM t1 UNION ALL FROM t2) QUALIFY row_number() OVER (PARTITION BY {key('name')} ORDER BY tier DESC, place DESC) = 1)"""
 
 
 @P.query("invoice_lines", "items", sql=_TEXTS + CANDIDATES + ", plain AS (SELECT description, c FROM cands UNION SELECT description, regexp_replace(c, '[-/]', '', 'g') FROM cands UNION SELECT description, bare FROM cands) SELECT description, c, item_id FROM plain JOIN items ON c = regexp_replace(mfr_part_num, '[-/.]', '', 'g') WHERE NOT regexp_matches(c, '[-/.]')")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from linesmith.functions import text as T
 from linesmith.sources.fixtures import Fixtures
 
-from linesmith.operators.matching import texts_with
+from linesmith.operators.phrases import texts_with
 
 from .base import Plans
 
@@ -111,7 +111,7 @@ _PHRASE = r"array_to_string(regexp_extract_all(unclean_name, '\w+'), '[\W_]+')"
     sql=rf"""SELECT description, unclean_name, regexp_matches(description, '(?i)^' || {_PHRASE} || '([^\w]|$)') AS starts,
       regexp_matches(regexp_replace(description, '[^\w\s]', ' ', 'g'), '(?i)\b' || trim(regexp_replace(unclean_name, '[^\w\s]', ' ', 'g')) || '\b') AS holds,
       CASE WHEN pos = 0 THEN 'INVALID' WHEN (pos = 1 OR b IN (' ', '(', ')', ',', '.')) AND (a = '' OR a IN (' ', '(', ')', ',', '.')) THEN 'WHOLE_WORD'
-        WHEN (pos = 1 OR b IN (' ', '(', ')', ',', '.', '-', '/')) AND (a = '' OR a IN (' ', '(', ')', ',', '.', '-', '/')) THEN 'EMBEDDED' ELSE 'INVALID' END AS boundary
+        WHEN ((pos = 1 OR b IN (' ', '(', ')', ',', '.')) AND a IN ('-', '/', '.')) OR (b IN ('-', '/', '.') AND (a = '' OR a IN (' ', '(', ')', ',', '.'))) THEN 'EMBEDDED' ELSE 'INVALID' END AS boundary
       FROM (SELECT *, CASE WHEN pos > 1 THEN substr(description, CAST(pos - 1 AS BIGINT), 1) ELSE '' END AS b, substr(description, CAST(pos + length(hit) AS BIGINT), 1) AS a FROM (
         SELECT *, CASE WHEN hit = '' THEN 0 ELSE instr(description, hit) END AS pos FROM (
           SELECT description, unclean_name, regexp_extract(description, '(?i)' || {_PHRASE}) AS hit

@@ -57,6 +57,11 @@ VIEWS: dict[str, str] = {
           CASE WHEN l_linestatus = 'F' THEN 'DS1' WHEN l_returnflag = 'A' THEN 'RC-AI' ELSE 'AI' END AS line_status,
           CASE CAST(line_id % 4 AS INT) WHEN 0 THEN '1.1' WHEN 1 THEN '1.2' WHEN 2 THEN '6' ELSE '1' END AS category_id, unspsc
         FROM {numbered_lines} n JOIN {items} i ON i.item_id = n.l_partkey""",
+    # Vectors of texts: of the driver's ones, by the text's length and a letter, so that like texts often share one; some have none.
+    "text_vectors": """
+        SELECT description, embedding AS vec FROM (SELECT DISTINCT description, CAST((length(description) * 17 + ascii(substr(description, 5, 1)) * 3) % 520 AS BIGINT) AS vec_id FROM {invoice_lines}) t JOIN {embeddings} e ON e.vec_id = t.vec_id""",
+    "description_vectors": """
+        SELECT desc_id, embedding AS vec FROM (SELECT desc_id, CAST((length(description) * 17 + ascii(substr(description, 5, 1)) * 3) % 520 AS BIGINT) AS vec_id FROM {item_descriptions}) t JOIN {embeddings} e ON e.vec_id = t.vec_id""",
     "categories": """
         SELECT 'R' || r_regionkey AS category_id, r_name AS category_name, CAST(NULL AS STRING) AS parent_id FROM {region}
         UNION ALL SELECT 'R' || n_regionkey || '.' || n_nationkey, n_name, 'R' || n_regionkey FROM {nation}

@@ -39,10 +39,11 @@ def test_names_and_parts_in_odd_texts(spark, texts):
     found = M.names_in_texts(t, d).collect()
     assert [(r.description, r.clean_name) for r in found] == ([("ACME AB-1234", "ACME INC")] if ("ACME AB-1234",) in texts else [])
     items = frame(spark, ITEMS, [(1, None, "AB-1234", "ACME", None, "39101112", "IDEA"), (2, None, None, None, None, None, None)])
-    descs = frame(spark, "item_id long, desc_id long, description string, similarity double", [(1, 1, "ACME AB-1234", 0.9)])
-    best = M.complete_match(t, items, descs, d)
+    descs = frame(spark, "item_id long, desc_id long, description string", [(1, 1, "ACME AB-1234")])
+    vectors = frame(spark, "description string, vec array<double>", [("ACME AB-1234", [1.0, 0.0])]), frame(spark, "desc_id long, vec array<double>", [(1, [0.9, 0.1])])
+    best = M.complete_match(t, items, descs, d, *vectors)
     assert best.count() == len(found)
-    assert M.complete_match(t, items.where("false"), descs.where("false"), dictionary(spark)).count() == 0
+    assert M.complete_match(t, items.where("false"), descs.where("false"), dictionary(spark), *(v.where("false") for v in vectors)).count() == 0
 
 
 def test_cascade_of_nothing_and_of_nulls(spark):

@@ -76,7 +76,7 @@ def test_accents(spark):
 
 
 def test_names_meet_the_dictionary_by_an_equi_join(spark):
-    texts, _, _, dictionary = matching_plans.inputs(Fixtures(spark, SF))
+    texts, _, _, dictionary, *_ = matching_plans.inputs(Fixtures(spark, SF))
     plan = M.names_in_texts(texts, stored(dictionary))._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
