@@ -71,20 +71,20 @@ def test_names_as_spelled_anywhere(spark, shard):
     assert sorted((r.id, r.n) for r in P.texts_with(texts, names, "t", "n", shard).collect()) == [(1, "ab"), (1, "bca"), (1, "cab"), (4, "ab"), (4, "cab")]
 
 
-@pytest.mark.parametrize("few", [0, 1 << 20])
-def test_pairwise_similarity(spark, few):
+@pytest.mark.parametrize("options", [{}, {"broadcast_ids": 0}, {"item_block": 2, "text_block": 2}])
+def test_nearest_description(spark, options):
     nan, inf = float("nan"), float("inf")
-    texts = spark.createDataFrame([("a", [3.0, 4.0]), ("zero", [0.0, 0.0]), ("none", None), ("long", [1.0, 0.0, 0.0]), ("odd", [nan, 1.0]), ("hole", [None, 1.0])], "description string, vec array<double>")
-    items = spark.createDataFrame([(1, [4.0, 3.0]), (2, [0.0, 0.0]), (3, None), (4, [inf, 1.0]), (5, [-3.0, -4.0])], "desc_id long, vec array<double>")
-    want = {("a", 1): 0.96, ("a", 2): 0.0, ("a", 3): None, ("a", 4): None, ("a", 5): -1.0, ("a", 9): None, ("a", None): None, ("zero", 1): 0.0, ("zero", 2): 0.0, ("none", 1): None, ("new", 1): None, ("long", 1): None, ("odd", 1): None, ("hole", 1): None, (None, 1): None}
-    pairs = spark.createDataFrame([*want, ("a", 1)], "description string, desc_id long")
-    got = V.pair_similarity(pairs, texts, items, few).collect()
-    assert len(got) == len(want) + 1
-    assert {(r.description, r.desc_id): None if r.similarity is None else round(r.similarity, 12) for r in got} == want
+    texts = spark.createDataFrame([("a", [3.0, 4.0]), ("zero", [0.0, 0.0]), ("none", None), ("long", [1.0, 0.0, 0.0]), ("odd", [nan, 1.0]), ("hole", [None, 1.0]), ("unasked", [1.0, 1.0])], "description string, vec array<double>")
+    items = spark.createDataFrame([(11, [4.0, 3.0]), (12, [-3.0, -4.0]), (13, [8.0, 6.0]), (21, None), (22, [inf, 1.0]), (31, [0.0, 0.0]), (99, [1.0, 1.0])], "desc_id long, vec array<float>")
+    descriptions = spark.createDataFrame([(1, 11, "x"), (1, 12, "y"), (1, 13, "z"), (1, 14, "no vector"), (2, 22, "v"), (2, 21, "u"), (3, 31, "w"), (5, 99, "unasked")], "item_id long, desc_id long, description string")
+    want = {("a", 1): (11, "x", 0.96), ("a", 2): (21, "u", None), ("a", 3): (31, "w", 0.0), ("a", 4): (None, None, None), ("zero", 1): (11, "x", 0.0), **{(t, 1): (11, "x", None) for t in ("none", "long", "odd", "hole", "new")}}
+    got = V.nearest_description(spark.createDataFrame(list(want), "description string, item_id long"), descriptions, texts, items, **options).collect()
+    assert len(got) == len(want)
+    assert {(r.description, r.item_id): (r.desc_id, r.item_description, None if r.similarity is None else round(r.similarity, 9)) for r in got} == want
 
 
 def test_vectors_are_thinned_out_before_they_move(spark):
-    pairs = spark.createDataFrame([("a", 1)], "description string, desc_id long")
-    vectors = spark.range(1000).selectExpr("id AS desc_id", "array(CAST(id AS DOUBLE)) AS vec", "CAST(id AS STRING) AS description")
-    plan = V.pair_similarity(pairs, vectors, vectors)._jdf.queryExecution().optimizedPlan().toString()
+    found = spark.createDataFrame([("a", 1)], "description string, item_id long")
+    vectors = spark.range(1000).selectExpr("id AS desc_id", "id AS item_id", "array(CAST(id AS DOUBLE)) AS vec", "CAST(id AS STRING) AS description")
+    plan = V.nearest_description(found, vectors, vectors, vectors)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LeftSemi") == 2 and plan.count("strategy=broadcast") == 2
