@@ -2,9 +2,10 @@
 
 The base kinds are found by regular expressions with checks. Around them stands a field over the tokens that hold a digit or
 an @ (no others can belong to these kinds): each token has a label (none, email, ip, card, phone), neighbours in the text
-share a chain potential, and all tokens of a document with the same form (mailbox, digits) share a skip potential through a
-form variable, so that a token repeated n times costs n edges. Similar forms (the same last seven digits, mailboxes that
-differ in dots or a tag) share a potential of their own through a variable for what they have in common. Tokens in
+share a chain potential, and all tokens of a document with the same form share a skip potential through a form variable, so that
+a token repeated n times costs n edges. A form is of a kind: a mailbox, an address with its dots, or all the digits of a card or phone,
+in as many words as they come. Similar forms (a phone without its country or area code, mailboxes that differ in dots or a tag)
+share a potential of their own through a variable for what they have in common; numbers that merely end alike do not. Tokens in
 base spans are observed. Loopy sum-product messages carry labels to distant repeats, and a token that has a repeat or a similar
 token in its document is added if its posterior is high enough.
 
@@ -49,11 +50,18 @@ _MARK[[64, *range(48, 58)]] = True
 _BUCKET = np.array([0, 1, 1, 1, 2, 2, 2, 3, 3, 3, 4, 4, 4, 5, 5, 5, 6, 6, 6, 6, 7])
 #: Shapes that can occur: digits (8 groups), @, dots (0 to 3), plus, parenthesis, hyphen.
 SHAPES = 8 * 2 * 4 * 2 * 2 * 2
-THRESHOLD = 0.6
-#: Agreeing pairs that repeats, and similar forms, are taken to have had before any were seen.
-SAME_PRIOR, SIMILAR_PRIOR = 100, 50
-#: Fewer digits do not tell a number from another.
-_LEAST_DIGITS = 5
+THRESHOLD = 0.5
+#: Agreeing repeats, and similar forms, that are taken to have been seen before the first: that numbers of a known entity's very digits, in a form
+#: that its kind allows, are that entity is the method's assumption; what is counted adds to it or speaks against it.
+SAME_PRIOR, SIMILAR_PRIOR = 400, 400
+#: How far a token's shape, and a neighbour, can speak against a label. The expressions that label tokens miss what they are not made for, so that a
+#: shape or a pair that is never labelled tells less than its count says.
+MOST_AGAINST, MOST_BESIDE = 2.0, 1.0
+#: A number without its area code has so many digits, with marks between them, and so many without marks.
+_LEAST_LOCAL, _LEAST_PLAIN = 7, 8
+#: Words that one number may be written in.
+_RUN = 5
+_NUMBER, _NUMERIC, _ADDRESS = re.compile("[0-9]+"), re.compile(r"[0-9().+/-]+"), re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 _ROUNDS = 16
 _EDGE = ".,;:!?\"'<>[]{}|*#&%$="
 
@@ -100,19 +108,32 @@ def shape(core: str) -> str:
     return f"{_BUCKET[min(digits, 20)]}{int('@' in core)}{min(core.count('.'), 3)}{int('+' in core)}{int('(' in core or ')' in core)}{int('-' in core)}"
 
 
-def form(core: str) -> str | None:
-    """What repeats of an entity have in common: the mailbox, or the digits."""
-    if "@" in core:
-        return core.split("@")[0].lower() + "@"
-    digits = "".join(c for c in core if "0" <= c <= "9")
-    return digits if len(digits) >= _LEAST_DIGITS else None
+def _digits(text: str) -> str:
+    return "".join(c for c in text if "0" <= c <= "9")
 
 
-def similar_key(f: str) -> str | None:
-    """What a form has in common with similar ones: its last seven digits, or the plain mailbox."""
-    if f.endswith("@"):
-        return f[:-1].split("+")[0].replace(".", "") + "@"
-    return f[-7:] if len(f) >= 7 else None
+def _dotted(text: str) -> str:
+    return "i" + ".".join(part.lstrip("0") or "0" for part in text.split("."))
+
+
+def entity_form(kind: int, text: str) -> str:
+    """What repeats of an entity have in common, by its kind: the mailbox, the numbers between the dots, or all digits."""
+    if kind == 0:
+        return text.split("@")[0].lower() + "@"
+    return _dotted(text) if kind == 1 else ("c" if kind == 2 else "p") + _digits(text)
+
+
+def plain_mailbox(form: str) -> str:
+    """What mailboxes that differ in dots or a tag have in common."""
+    return form[:-1].split("+")[0].replace(".", "") + "@"
+
+
+def local_forms(phone: str) -> list[str]:
+    """Digits under which a number is also written, without its country or area code: what follows a mark inside, or one to three first digits if there is none."""
+    groups = _NUMBER.findall(phone)
+    whole = "".join(groups)
+    cuts = np.cumsum([len(g) for g in groups[:-1]]).tolist() if len(groups) > 1 else [1, 2, 3]
+    return [rest for c in cuts if len(rest := whole[c:].lstrip("0")) >= (_LEAST_LOCAL if len(groups) > 1 else _LEAST_PLAIN)]
 
 
 class Tokens:
@@ -129,30 +150,45 @@ class Tokens:
         np.cumsum((b.data & 0xC0) != 0x80, out=points[1:])
         self.doc, self.span, self.shape, self.label = doc, [], [], []
         forms: dict[tuple[int, str], int] = {}
+        number = lambda i, f: forms.setdefault((i, f), len(forms))
         self.form: list[int] = []
-        at = -1
+        #: Tokens that an entity begins with.
+        self.begins: list[bool] = []
+        alike: dict[tuple[int, str], list[int]] = defaultdict(list)
+        at, cores, last = -1, [], -1
         for w, i in zip(marked.tolist(), doc.tolist(), strict=True):
             if i != at:  # labels of the places of a document, the first kind winning
                 at, origin = i, points[b.off[i]]
                 mine = sorted((s, e, k) for k, s, e in self.base[i])
                 begins = [s for s, _, _ in mine]
+                last = -1
             s, e = int(points[b.start[w]] - origin), int(points[b.end[w]] - origin)
             core = self.texts[i][s:e]
             s += len(core) - len(core.lstrip(_EDGE))
             core = core.strip(_EDGE)
             e = s + len(core)
-            near = [k for a, z, k in mine[max(0, int(np.searchsorted(begins, s)) - 4 * len(KINDS)) : int(np.searchsorted(begins, e))] if a < e and z > s] if mine else []
+            near = [(k, a, z) for a, z, k in mine[max(0, int(np.searchsorted(begins, s)) - 4 * len(KINDS)) : int(np.searchsorted(begins, e))] if a < e and z > s] if mine else []
             self.span.append((s, e))
             self.shape.append(shape(core))
-            self.label.append(1 + min(near) if near else 0)
-            f = form(core)
-            self.form.append(-1 if f is None else forms.setdefault((i, f), len(forms)))
+            cores.append(core)
+            f = None
+            if near:
+                kind, a, z = min(near)
+                f = entity_form(kind, self.texts[i][a:z])
+            elif "@" in core:
+                f = core.split("@")[0].lower() + "@"
+            elif _ADDRESS.fullmatch(core) and _passes("ip", core):
+                f = _dotted(core)
+            self.label.append(1 + min(near)[0] if near else 0)
+            self.begins.append(bool(near) and min(near)[1] != last)
+            last = min(near)[1] if near else -1
+            self.form.append(-1 if f is None else number(i, f))
+        self._numbers(marked.tolist(), doc.tolist(), cores, number, alike)
         self.n_forms = len(forms)
-        alike: dict[tuple[int, str], list[int]] = defaultdict(list)
-        for (i, f), number in forms.items():
-            if (k := similar_key(f)) is not None:
-                alike[i, k].append(number)
-        groups = sorted({tuple(g) for g in alike.values() if len(g) > 1})
+        for (i, f), which in forms.items():
+            if f.endswith("@"):
+                alike[i, plain_mailbox(f)].append(which)
+        groups = sorted({tuple(sorted(set(g))) for g in alike.values() if len(set(g)) > 1})
         self.n_groups = len(groups)
         #: Pairs of a form and a group of similar forms.
         self.similar = np.array([(f, g) for g, members in enumerate(groups) for f in members], np.int64).reshape(-1, 2)
@@ -166,7 +202,45 @@ class Tokens:
         self.open = np.zeros(len(self.label), bool)
         self.open[has] = (self.label[has] == 0) & named[self.form[has]]
         left = np.flatnonzero((np.diff(marked) == 1) & (np.diff(doc) == 0)) if len(marked) else np.zeros(0, np.int64)
-        self.left = left  # token t and t + 1 are neighbours
+        self.left = left[(self.form[left] < 0) | (self.form[left] != self.form[left + 1])]  # token t and t + 1 are neighbours, and not of one number
+
+    def _numbers(self, words: list[int], doc: list[int], cores: list[str], number, alike: dict) -> None:
+        """Forms of the numbers outside of entities that have the digits of a card or phone of their document, or of a phone without its first codes.
+
+        They may be written in several words. Numbers of other digits, be they longer, shorter or alike at the end, are linked with nothing.
+        """
+        whole: dict[tuple[int, str], str] = {}
+        local: dict[tuple[int, str], str] = {}
+        for i, spans in self.base.items():
+            for kind, s, e in spans:
+                if kind >= 2:
+                    f = entity_form(kind, self.texts[i][s:e])
+                    whole[i, f[1:]] = f
+                    if kind == 3:
+                        local |= {(i, rest): f for rest in local_forms(self.texts[i][s:e]) if (i, rest) not in local}
+        if not whole:
+            return
+        plain = [not self.label[t] and self.form[t] < 0 and _NUMERIC.fullmatch(core) is not None for t, core in enumerate(cores)]
+        t = 0
+        while t < len(words):
+            run = 0
+            while plain[t] and run < _RUN and t + run < len(words) and plain[t + run] and doc[t + run] == doc[t] and words[t + run] == words[t] + run:
+                run += 1
+            for n in range(run, 0, -1):
+                digits = _digits("".join(cores[t : t + n]))
+                marks = n > 1 or any(c in "-()./" for c in cores[t])
+                bare = digits.lstrip("0")
+                f = whole.get((doc[t], digits)) or whole.get((doc[t], bare))
+                known = local.get((doc[t], bare)) if marks or len(bare) >= _LEAST_PLAIN else None
+                if f is None and known is not None:
+                    f = "v" + bare
+                    alike[doc[t], known] += [number(doc[t], known), number(doc[t], f)]
+                if f is not None:
+                    self.form[t : t + n] = [number(doc[t], f)] * n
+                    self.shape[t : t + n] = [shape("".join(cores[t : t + n])), *[""] * (n - 1)]  # one number has one shape
+                    t += n - 1
+                    break
+            t += 1
 
     def counts(self) -> dict[tuple[str, str], int]:
         out: dict[tuple[str, str], int] = defaultdict(int)
@@ -175,7 +249,7 @@ class Tokens:
                 out[f"u{s}", LABELS[k]] += 1
         for t in self.left[~self.open[self.left] & ~self.open[self.left + 1]].tolist():
             out[f"c{LABELS[self.label[t]]}", LABELS[self.label[t + 1]]] += 1
-        known = (self.form >= 0) & (self.label > 0)
+        known = (self.form >= 0) & (self.label > 0) & np.array(self.begins, bool)
         votes = np.zeros((self.n_forms, len(LABELS)), np.int64)
         np.add.at(votes, (self.form[known], self.label[known]), 1)
         groups = np.zeros((self.n_groups, len(LABELS)), np.int64)
@@ -199,10 +273,10 @@ class Model:
                 by[key[1:]][LABELS.index(value)] += c
             elif key[0] == "c":
                 chain[LABELS.index(key[1:]), LABELS.index(value)] += c
-        self.unary = {s: np.log(v / v.sum()) for s, v in by.items()}
+        self.unary = {s: np.maximum(u := np.log(v / v.sum()), u.max() - MOST_AGAINST) for s, v in by.items()}
         self.flat = np.log(np.full(n, 1 / n))
         p = chain / chain.sum()
-        self.chain = np.clip(np.log(p / (p.sum(1, keepdims=True) * p.sum(0, keepdims=True))), -3, 3)
+        self.chain = np.clip(np.log(p / (p.sum(1, keepdims=True) * p.sum(0, keepdims=True))), -MOST_BESIDE, MOST_BESIDE)
         agree = lambda key, prior: float(np.clip(np.log((counts.get((key, "same"), 0) + prior) / (counts.get((key, "other"), 0) + 1)), 0, 6))
         self.skip, self.similar = agree("s", SAME_PRIOR) * np.eye(n), agree("g", SIMILAR_PRIOR) * np.eye(n)
 
