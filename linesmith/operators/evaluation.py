@@ -56,22 +56,26 @@ def field_metrics(v: DataFrame, thresholds: dict[str, int]) -> DataFrame:
 
 
 def accepted(new: DataFrame, current: DataFrame, minima: dict[str, float]) -> DataFrame:
-    """Whether every field reaches its minimum of accuracy, and whether every field beats the current model."""
-    least = F.create_map(*(F.lit(x) for p in minima.items() for x in (p[0], float(p[1]))))[F.col("field")]
-    j = new.select("field", F.col("accuracy").alias("a")).join(current.select("field", F.col("accuracy").alias("b")), "field")
-    return j.agg(F.bool_and(F.col("a") >= least).alias("good"), F.bool_and(F.col("a") > F.col("b")).alias("better"))
+    """Whether every field with a minimum reaches it, and whether it beats the current model's; a field that a model lacks fails."""
+    spark = new.sparkSession
+    least = spark.createDataFrame([(f, float(x)) for f, x in minima.items()], "field string, least double")
+    j = least.join(new.select("field", F.col("accuracy").alias("a")), "field", "left").join(current.select("field", F.col("accuracy").alias("b")), "field", "left")
+    reached = lambda test: F.bool_and(F.coalesce(test, F.lit(False)))
+    return j.agg(reached(F.col("a") >= F.col("least")).alias("good"), reached(F.col("a") > F.col("b")).alias("better"))
 
 
 def confusion(rows: DataFrame, truth: str, pred: str) -> DataFrame:
-    """Counts by true and predicted class, with totals (null stands for all)."""
-    return rows.cube(truth, pred).agg(F.count(F.lit(1)).alias("n"))
+    """Counts by true and predicted class, with totals: all_true and all_pred tell a total from the class null."""
+    all_ = lambda c: F.grouping(c).cast("boolean")
+    return rows.cube(truth, pred).agg(F.count(F.lit(1)).alias("n"), all_(truth).alias("all_true"), all_(pred).alias("all_pred"))
 
 
 def class_report(rows: DataFrame, truth: str, pred: str) -> DataFrame:
-    """precision, recall, f1 and support of every class; a ratio without cases is 0."""
-    t = rows.groupBy(F.col(truth).alias("class")).agg(F.count(F.lit(1)).alias("support"), F.count_if(F.col(truth) == F.col(pred)).alias("hit"))
-    p = rows.groupBy(F.col(pred).alias("class")).agg(F.count(F.lit(1)).alias("said"))
-    j = t.join(p, "class", "full_outer").na.fill(0)
+    """precision, recall, f1 and support of every class, null being one; a ratio without cases is 0."""
+    one, none = F.lit(1).alias, F.lit(0).alias
+    hit = F.col(truth).eqNullSafe(F.col(pred)).cast("int").alias("hit")
+    each = rows.select(F.explode(F.array(F.struct(F.col(truth).alias("class"), one("support"), hit, none("said")), F.struct(F.col(pred).alias("class"), none("support"), none("hit"), one("said")))).alias("c"))
+    j = each.groupBy("c.class").agg(*(F.sum(f"c.{c}").alias(c) for c in ("support", "hit", "said")))
     ratio = lambda n, d: F.when(d > 0, n / d).otherwise(0.0)
     hit, said, support = F.col("hit"), F.col("said"), F.col("support")
     return j.select("class", "support", F.round(ratio(hit, said), 6).alias("precision"), F.round(ratio(hit, support), 6).alias("recall"), F.round(ratio(2 * hit, said + support), 6).alias("f1"))
