@@ -24,3 +24,53 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/linesmith-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Committed:
+    """Tables of numbered batches in a folder, of which readers see only whole ones.
+
+    A batch is written to a folder of its own; then a small file that names it is moved into place, which either happens or does not.
+    A batch that fails on its way leaves nothing that is read, and one that is repeated takes its former self's place.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self._spark, self._folder = spark, folder
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        self._path = lambda name: hadoop.Path(f"{folder}/{name}")
+        self._files = hadoop.Path(folder).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+    def write(self, df: DataFrame, number: int) -> None:
+        data, draft, place = f"data/{number}-{uuid.uuid4().hex}", self._path(f"_draft-{uuid.uuid4().hex}"), self._path(f"committed/{number}")
+        df.write.parquet(f"{self._folder}/{data}")
+        out = self._files.create(draft)
+        out.write(bytearray(data, "utf-8"))
+        out.close()
+        self._files.mkdirs(place.getParent())
+        self._files.delete(place, False)
+        if not self._files.rename(draft, place):
+            raise OSError(f"batch {number} was written but could not be committed in {self._folder}")
+
+    def numbers(self) -> list[int]:
+        """The committed batches in order."""
+        parent = self._path("committed")
+        found = self._files.listStatus(parent) if self._files.exists(parent) else []
+        return sorted(int(f.getPath().getName()) for f in found if f.getPath().getName().isdigit())
+
+    def _data(self, number: int) -> str:
+        file = self._files.open(self._path(f"committed/{number}"))
+        try:
+            return f"{self._folder}/{bytes(file.readAllBytes()).decode()}"
+        finally:
+            file.close()
+
+    def read(self, number: int, schema=None) -> DataFrame:
+        reader = self._spark.read.schema(schema) if schema is not None else self._spark.read
+        return reader.parquet(self._data(number))
+
+    def read_all(self, schema=None) -> DataFrame:
+        """The rows of all committed batches; without any, an empty table of the schema."""
+        numbers = self.numbers()
+        if not numbers:
+            return self._spark.createDataFrame([], schema)
+        reader = self._spark.read.schema(schema) if schema is not None else self._spark.read
+        return reader.parquet(*(self._data(n) for n in numbers))
