@@ -19,13 +19,15 @@ def lookup_parts(candidates: DataFrame, items: DataFrame) -> DataFrame:
     return plain.join(keyed, F.col("c") == F.col("__bare")).drop("__bare")
 
 
-def known_already(lines: DataFrame, items: DataFrame) -> DataFrame:
+def known_keys(lines: DataFrame, items: DataFrame, key: str = "line_id") -> DataFrame:
+    """The keys of lines whose own part number or UPC is valid and the catalog has. Only valid numbers are shuffled, so nulls and blanks make no hot key."""
+    has = lambda column, valid: lines.where(valid(F.col(column))).select(key, column).join(items.where(valid(F.col(column))).select(column), column, "left_semi").select(key)
+    return has("own_part_num", X.is_own_part_number).unionByName(has("upc", X.is_upc)).distinct()
+
+
+def known_already(lines: DataFrame, items: DataFrame, key: str = "line_id") -> DataFrame:
     """lines with `known`: a valid own part number or UPC that the catalog has."""
-    own = items.where("own_part_num IS NOT NULL").select(F.col("own_part_num").alias("__own")).distinct().withColumn("__a", F.lit(True))
-    upc = items.where("upc IS NOT NULL").select(F.col("upc").alias("__upc")).distinct().withColumn("__b", F.lit(True))
-    out = lines.join(own, X.is_own_part_number(F.col("own_part_num")) & (F.col("own_part_num") == F.col("__own")), "left")
-    out = out.join(upc, X.is_upc(F.col("upc")) & (F.col("upc") == F.col("__upc")), "left")
-    return out.withColumn("known", F.coalesce(F.col("__a"), F.col("__b"), F.lit(False))).drop("__own", "__upc", "__a", "__b")
+    return lines.join(known_keys(lines, items, key).withColumn("known", F.lit(True)), key, "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
 def manufacturer_dictionary(rows: DataFrame) -> DataFrame:

@@ -4,8 +4,10 @@ import hashlib
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from linesmith.operators import cascade as C
+from linesmith.operators import catalog as K
 from linesmith.operators import evaluation as E
 from linesmith.operators import training as T
 
@@ -77,3 +79,33 @@ def test_balance_takes_new_rows_first(spark):
     assert len(got) == 81 and len(big) == 40 and set(range(30)) <= set(big)
     one = spark.createDataFrame([(1, "a", True)], "id int, c string, new boolean")
     assert T.balanced(one, "c", T.F.col("new"), "id", "s").count() == 1 and T.balanced(one.where("false"), "c", T.F.col("new"), "id", "s").count() == 0
+
+
+def test_the_whole_record(spark):
+    columns = "line_id long, mfr string, part string, unspsc string, upc string, own_part string, conf_mfr double, conf_part double, conf_unspsc double, code_from string, stage_name string, sub_stage string, failed boolean, status string, category string, category_id string, category_conf double, stage_category string, verified string, is_mfr_clean boolean, route string, fields array<string>, mfr_from string"
+    every, tail = ["mfr", "part", "unspsc"], ("MATERIAL", "1", 97.0, "C", "Y", True)
+    rows = [
+        (1, "ACME", None, "39101112", "123", None, 90.4, 10.0, 88.0, "SEMANTIC", "WEB", "TOP", False, "RC-AI", *tail, "default", every, None),
+        (2, None, "P", None, None, "AK1", 1.0, 2.0, 3.0, None, "TUNED", "TOP", False, "RC-AI", *tail, "lot", ["mfr"], None),
+        (3, "ACME", None, None, None, None, 100.0, None, None, None, None, None, False, "RC-AI", "LOT", None, 80.0, "L", "N", None, "default", every, "RPA"),
+        (4, None, None, None, None, None, None, None, None, None, None, None, False, "DS1", None, None, None, None, "Y", None, "default", every, None),
+    ]
+    got = {r.line_id: r.asDict() for r in C.final_record(spark.createDataFrame(rows, columns), F.lit(7)).collect()}
+    some = lambda i, *names: tuple(got[i][n] for n in names)
+    assert some(1, "mfr", "stage_mfr", "conf_mfr", "part", "stage_part", "conf_stage_part", "conf_part") == ("ACME", "WEB - TOP", 90, "UNDEFINED", "UNDEFINED", "WEB - TOP", 10)
+    assert some(1, "unspsc", "stage_unspsc", "conf_stage_unspsc") == ("39101112", "SEMANTIC - TOP", "SEMANTIC - TOP")  # a code taken from another stage
+    assert some(1, "upc", "stage_upc", "own_part", "stage_own_part", "category_id", "conf_category", "stage_category", "source_url", "end_time") == ("123", "WEB - TOP", "UNDEFINED", "UNDEFINED", "1", 97, "C", "UNDEFINED", 7)
+    assert some(2, "mfr", "stage_mfr", "part", "stage_part", "conf_part", "own_part") == ("LOT", "TUNED - TOP", None, None, None, "AK1")  # a field that is not wanted is not written
+    assert some(3, "mfr", "stage_mfr", "conf_mfr", "conf_stage_mfr", "part", "upc", "step", "status") == ("ACME", "RPA", 100, "RPA", None, None, None, "RC-AI")
+    assert some(4, "mfr", "conf_mfr", "status", "verified", "category", "conf_category", "step") == (None, 0, "DS1", "N", "UNDEFINED", 0, None)
+
+
+def test_known_numbers_leave_first(spark):
+    items = spark.createDataFrame([("AK1", None), (None, "12345678"), ("AK", "1"), ("AK1", "12345678")], "own_part_num string, upc string")
+    lines = spark.createDataFrame([(1, "AK1", None), (2, None, "12345678"), (3, "AK", "1"), (4, "AK1", "12345678"), (5, None, None), (6, "AK2", "99999999")], "line_id long, own_part_num string, upc string")
+    assert sorted(r.line_id for r in K.known_keys(lines, items).collect()) == [1, 2, 4]  # numbers that are not valid are not looked up
+    lines = lines.selectExpr("*", "'X1' AS description", "'SERVICE' AS class", "99.0D AS class_conf", "CAST(null AS string) AS lot_class", "CAST(null AS string) AS rental_class", "'N' AS rental_ind", "CAST(null AS string) AS mfr_ai", "'1' AS category_id")
+    none = lambda open_: open_.selectExpr("line_id", "CAST(null AS string) AS mfr", "CAST(null AS string) AS part", "CAST(null AS string) AS unspsc", "0D AS conf_mfr", "0D AS conf_part", "0D AS conf_unspsc").limit(0)
+    dictionary = spark.createDataFrame([], "key string, name string, clean_name string, parent_name string, beginning boolean, tier int")
+    got = {r.line_id: (r.status, r.category, r.conf_mfr) for r in C.resolved_lines(lines, [("SEMANTIC", none)], None, dictionary, items=items).collect()}
+    assert got == {i: ("RC-RPA", None, None) if i in (1, 2, 4) else ("DS1", "BAD", 100) for i in range(1, 7)}
