@@ -400,6 +400,17 @@ def _as_sets(k: int):
     return per_block(run, lower=True)
 
 
+def set_marks(texts: DataFrame, words: int = 5) -> DataFrame:
+    """texts (doc_id, text; no nulls) with the mark of each set, as jaccard_join() names it: two numbers."""
+
+    def run(b: Block) -> pa.RecordBatch:
+        mark = _marks(*shingles(b, words))
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(mark[0]), pa.array(mark[1])], ["doc_id", "text", "mark_a", "mark_b"])
+
+    rows = texts.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(per_block(run, lower=True), "doc_id long, text string, mark_a long, mark_b long")
+
+
 class _Lists:
     """Index lists of some sets: for each token the sets that hold it, in order of size, and its position in them."""
 
@@ -510,11 +521,12 @@ def _verify(percent: int):
     return run
 
 
-def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", marks: bool = False) -> DataFrame:
     """Documents linked if 100 * |intersection| >= percent * |union| of their sets of shingles.
 
     Returns a row per row of docs: doc_id, n_shingles, component_id (the smallest id reachable by links, itself included),
-    class_id (the smallest id with the same set) and n_links (how many other rows are linked to it).
+    class_id (the smallest id with the same set) and n_links (how many other rows are linked to it). With `marks` also mark_a and
+    mark_b, which tell the texts of one id apart by their sets (see set_marks; null without a set).
     """
     spark = prepare(docs.sparkSession)
     scratch = Scratch(spark)
@@ -585,4 +597,5 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     of_class = classes.join(of_class, "cid", "left").join(counts, "cid", "left")
     of_class = of_class.select("m", "m2", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
     out = sets.select("doc_id", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("m")).alias("m"), "m2").join(of_class, ["m", "m2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    told = [F.col("m").alias("mark_a"), F.when(F.col("m").isNotNull(), F.col("m2")).alias("mark_b")] if marks else []
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), *told)
