@@ -36,20 +36,22 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, similarity 0.8 or more) the document with the smallest id stays; rows that repeat id and text count once.
 
-    Null and empty texts are copies of nothing. If several texts of a group have the smallest id, all of these stay; if an id has
-    several texts of which one is a copy of a smaller id, all rows of that id go.
+    Null and empty texts are copies of nothing. If several texts of a group have the smallest id, all of these stay. If an id has
+    several texts, those that are copies of a smaller id go and the others stay.
     """
     prepare(spark)
-    joined = jaccard_join.jaccard_join(docs, words=5, percent=80)
-    others = joined.where("component_id <> doc_id").select("doc_id").distinct()
+    joined = jaccard_join.jaccard_join(docs, words=5, percent=80, marks=True)
+    copies = stored(joined.where("component_id <> doc_id").select("doc_id", "mark_a", "mark_b"))
     # Only ids that come twice need their texts compared; all other rows are kept or dropped by their id alone.
     twice = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    marks = stored(others.withColumn("__drop", F.lit(True)).join(twice.withColumn("__twice", F.lit(True)), "doc_id", "full_outer"))
+    marks = stored(copies.select("doc_id").distinct().withColumn("__drop", F.lit(True)).join(twice.withColumn("__twice", F.lit(True)), "doc_id", "full_outer"))
     marks = F.broadcast(marks) if marks.count() <= MARKS else marks
-    marked = docs.withColumn("__id", F.col("doc_id")).join(marks.withColumnRenamed("doc_id", "__id"), "__id", "left").where("__drop IS NULL")
-    once = marked.where("__twice IS NULL AND doc_id IS NOT NULL").select(*docs.columns)
+    marked = docs.withColumn("__id", F.col("doc_id")).join(marks.withColumnRenamed("doc_id", "__id"), "__id", "left")
+    once = marked.where("__twice IS NULL AND __drop IS NULL AND doc_id IS NOT NULL").select(*docs.columns)
     again = marked.where("__twice IS NOT NULL OR doc_id IS NULL").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return once.unionByName(again)
+    mixed = marked.where("__twice AND __drop AND text IS NOT NULL").select("doc_id", "text").distinct()
+    gone = jaccard_join.set_marks(mixed, words=5).join(copies, ["doc_id", "mark_a", "mark_b"], "left_semi").select("doc_id", "text")
+    return once.unionByName(again.join(gone, ["doc_id", "text"], "left_anti").select(*docs.columns))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
