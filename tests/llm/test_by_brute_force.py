@@ -520,6 +520,20 @@ def test_pipeline_stages(spark):
     assert frames[3].n_chars.tolist() == frames[3].text.str.len().tolist()
 
 
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_copies_go_by_text_and_not_by_id(spark, monkeypatch, few):
+    monkeypatch.setattr(corpus_pipeline, "MARKS", few)
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    near = a.replace("a59", "other")
+    rows = [(1, a, 0), (7, near, 1), (7, b, 2), (3, a.upper(), 3), (3, c, 4), (9, d, 5), (9, d, 6), (11, near, 7), (12, "", 8), (12, a, 9), (12, None, 10), (13, "", 11), (None, a, 12), (None, a, 13), (5, near, 14), (5, near, 15), (1, near, 16)]
+    out = corpus_pipeline.deduplicate(spark, spark.createDataFrame(rows, "doc_id long, text string, __x int"), SF)
+    assert out.columns == ["doc_id", "text", "__x"]
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    # Copies of 1 go, whatever else their id has; equal rows count once; rows without an id, or without words, are copies of nothing.
+    want = [(1, a), (1, near), (7, b), (3, c), (9, d), (12, ""), (12, None), (13, ""), (None, a)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_pipeline_on_odd_rows(spark, tmp_path):
     folder = odd_folder(spark, tmp_path, ODD + [(None, LONG, "en", "a"), (None, None, None, None)])
     spark.createDataFrame([(5, 1, 0), (10, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
