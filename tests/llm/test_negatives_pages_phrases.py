@@ -1,8 +1,10 @@
 """Hard negatives, page text and collocations: against SQL, independent readers and plain counting, on odd rows too."""
 
 import math
+import tracemalloc
 from collections import Counter
 from html.parser import HTMLParser
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
@@ -237,3 +239,61 @@ def test_collocations_of_repeated_and_empty_rows(spark):
     # "york city" goes, as it stands in "new york city" always; "new york" stays, as only half of its places are in it.
     assert [tuple(r) for r in phrases.collocations(docs).collect()] == [("en", 1, "new york", 80, 80, 80, 200, 1000000), ("en", 2, "new york city", 40, 80, 40, 200, 666666)]
     assert phrases.collocations(docs.limit(0)).count() == 0
+
+
+def _passes(trie):
+    numbers = phrases.Numbers(trie.alphabet)
+
+    def two(places):
+        number = numbers.of(places.key)
+        at = np.flatnonzero(places.run >= 2)
+        at = at[(number[at] >= 0) & (number[at + 1] >= 0)]
+        return number[at] * len(numbers.keys) + number[at + 1]
+
+    return {"vocabulary": phrases._vocabulary(0), "proposals": phrases._proposals(0, 10**6, two), "pairs": phrases._pairs(3, 0), "counts": phrases._counts(SimpleNamespace(value=trie), 0)}
+
+
+def _some_phrases(batch):
+    key = np.unique(phrases.Places(batch, 0).key)
+    return phrases.Trie(np.array([[a, b, 0, 0] for a in key[:20] for b in key[:20]], np.uint64))
+
+
+def test_passes_add_up_the_same_in_small_blocks(monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{i}" for i in (rng.random(n) ** 2 * 30).astype(int)) + ". a, b" for n in rng.integers(0, 90, 60)] + ["", " .", "long " * 500, ""]
+    batches = [pa.record_batch({"lang": [["en", "de"][i % 2] for i in range(len(part))], "text": part}) for part in (texts, [""], texts[:7])]
+    run = _passes(_some_phrases(batches[0]))
+
+    def said(name):
+        out, many = Counter(), 0
+        for batch in run[name](iter(batches)):
+            assert 0 < batch.num_rows <= phrases.SENT_ROWS
+            many += 1
+            for *row, n in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                out[tuple(row)] += n
+        return out, many
+
+    whole = {name: said(name) for name in run}
+    assert all(out and many == 1 for out, many in whole.values())
+    for names, value in (("PLACES_BYTES", 300), ("GATHERED", 200), ("SENT_ROWS", 11)):
+        monkeypatch.setattr(phrases, names, value)
+    for name in run:
+        out, many = said(name)
+        assert out == whole[name][0] and many > 3, name
+
+
+@pytest.mark.parametrize("name", ["vocabulary", "proposals", "pairs", "counts"])
+def test_memory_of_a_pass_does_not_follow_the_batch(name):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(map(str, (rng.random(500) ** 3 * 20_000).astype(int))) for _ in range(6000)]
+    batch = pa.record_batch({"lang": ["en"] * len(texts), "text": texts})
+    assert batch.nbytes > 12 << 20
+    run = _passes(_some_phrases(batch.slice(0, 50)))[name]
+    list(run(iter([batch.slice(0, 2)])))  # tables of powers stay
+    tracemalloc.start()
+    try:
+        for _ in run(iter([batch])):
+            pass
+        assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    finally:
+        tracemalloc.stop()
