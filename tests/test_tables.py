@@ -3,10 +3,13 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
+from linesmith import registry
 from linesmith.operators import tables as T
 from linesmith.operators import training as R
 from linesmith.operators.sync import catalog_sync
 
+from .conftest import SF
+
 
 def test_jdbc_in_ranges(spark, tmp_path):
     url = f"jdbc:derby:{tmp_path}/db;create=true"
@@ -38,3 +41,21 @@ def test_balance_takes_new_rows_first(spark):
     got = R.balanced(spark.createDataFrame(pdf), "class", F.col("new"), "uid", "s").toPandas()
     assert got["class"].value_counts().to_dict() == {"A": 6, "B": 6, "C": 4}
     assert set(got[got["class"] == "A"].uid) >= {0, 5, 10, 15}
+
+
+def test_not_in_as_sql_has_it(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k long, v string")
+    for values in ([], [1], [1, 1, 9], [1, None], [None]):
+        table = spark.createDataFrame([(v,) for v in values], "k long")
+        want = spark.sql("SELECT * FROM {r} WHERE k NOT IN (SELECT k FROM {t})", r=rows, t=table)
+        assert sorted(map(str, T.not_in(rows, table, "k").collect())) == sorted(map(str, want.collect())), values
+
+
+def test_items_without_description_are_found_without_a_broadcast_of_all_descriptions(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = registry.QUERIES["j04_j05_j06_sql_joins"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" not in plan  # only the row of counts is sent to all
