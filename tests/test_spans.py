@@ -1,6 +1,7 @@
 """Answers among the tokens that spell them: each rule by hand, and all runs tried one by one."""
 
 import math
+import random
 import time
 
 import pytest
@@ -78,3 +79,36 @@ def test_rows(spark):
     rows = spark.createDataFrame([(1, "AB", [("A", -0.1), ("b", -0.3)]), (2, None, [("A", -0.1)]), (3, "A", None), (4, "A", [(None, None), ("A", None)])], "line_id long, answer string, tokens array<struct<token: string, logprob: float>>")
     got = {r.line_id: r.conf for r in token_confidence(rows.withColumn("answers", F.lit(1))).collect()}
     assert got == {1: round((math.exp(-0.1) + math.exp(-0.3)) / 2, 2) * 100, 2: 0.0, 3: 0.0, 4: 0.0}
+
+
+def test_plain_runs_are_told_without_python(spark):
+    """Where the expression tells something it is what the run of tokens says, and it tells the plain ones."""
+    from linesmith.functions.spans import plain_confidences
+
+    draw, rows = random.Random(5), []
+    parts = ["a", "A", "ab", "b-1", " ", "\n", '"', "\\", "B-1 ", "é", "", '", "part": "', "ab ab", "1", None]
+    logs = [-0.1, -2.3, 0.5, None, float("nan"), math.log(0.125), math.log(0.5), -50.0]
+    for _ in range(4000):
+        tokens = [draw.choice(parts) for _ in range(draw.randint(0, 6))]
+        answer = draw.choice([*(t for t in tokens if t), *parts])
+        rows.append((answer, tokens, [draw.choice(logs) for _ in range(draw.choice((len(tokens), len(tokens), 1)))]))
+    rows += [("X-1", ["{", "X-1", "}"], [0.0, -0.2, 0.0]), ("BRAND 1", ['{"m": "', "BRAND 1", '"'], [0.0, -0.1, 0.0])]
+    df = spark.createDataFrame(rows, "a string, t array<string>, p array<double>").select("*", F.get(plain_confidences([F.lit("x"), F.col("a")], F.col("t"), F.col("p")), F.lit(1)).alias("c"))
+    told = [(r, r.c) for r in df.collect() if r.c is not None]
+    assert len(told) > 50 and {"X-1", "BRAND 1"} <= {r.a for r, _ in told}
+    for r, c in told:
+        assert c == round(probability([t or "" for t in r.t], r.p, r.a) * 100, 2), r
+
+
+def test_first_passing_asks_python_only_where_it_must(spark):
+    from linesmith.operators import cascade as C
+
+    said = '{"ManufacturerName": "ACME", "PartNumber": "%s", "UNSPSC": "39101112"}'
+    tokens = lambda part, *cut: [("{", -0.9), ("ACME", -0.1), (": ", -0.9), *((p, -0.2) for p in cut), (", ", -0.9), ("39101112", -0.3), ("}", -0.9)]
+    rows = [(1, 1, "pipe X-12", said % "X-12", tokens("X-12", "X-12")), (2, 1, "pipe X-12", said % "X-12", tokens("X-12", "X-", "12")), (3, 2, "no such", said % "X-12", tokens("X-12", "X-12"))]
+    answers = spark.createDataFrame(rows, "line_id long, attempt int, description string, answer string, tokens array<struct<token:string,logprob:double>>")
+    names = spark.createDataFrame([("ACME", "ACME INC")], "key string, clean_name string")
+    out = C.first_passing(answers, names)
+    got = {r.line_id: (r.mfr, r.conf_mfr, r.conf_part, r.conf_unspsc) for r in out.collect()}
+    assert got == {1: ("ACME INC", 90.0, 82.0, 74.0), 2: ("ACME INC", 90.0, 82.0, 74.0)}
+    assert "MapInArrow" not in (plan := out._jdf.queryExecution().executedPlan().toString()) and plan.count("SortMergeJoin") == 0

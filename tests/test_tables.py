@@ -4,6 +4,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from linesmith import registry
+from linesmith.functions import text as X
+from linesmith.operators import catalog
 from linesmith.operators import tables as T
 from linesmith.operators import training as R
 from linesmith.operators.sync import catalog_sync
@@ -59,3 +61,25 @@ def test_items_without_description_are_found_without_a_broadcast_of_all_descript
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "BroadcastHashJoin" not in plan  # only the row of counts is sent to all
+
+
+def test_short_dictionaries_do_not_shuffle_the_rows(spark, monkeypatch):
+    names = spark.createDataFrame([("ACME", "ACME INC")], "key string, clean_name string")
+    rows = spark.createDataFrame([(1, "acme"), (2, "other"), (3, None)], "k long, mfr string")
+    before, said = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), []
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most in (1 << 17, 0):  # broadcast and shuffled
+            monkeypatch.setattr(catalog.at_hand, "__defaults__", (most,))
+            out = catalog.clean_names(rows, names, "mfr")
+            said.append("SortMergeJoin" in out._jdf.queryExecution().executedPlan().toString())
+            assert {(r.k, r.clean_name, r.was_cleaned) for r in out.collect()} == {(1, "ACME INC", True), (2, "other", False), (3, None, False)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert said == [False, True]
+
+
+def test_alphanumeric_of_any_text(spark):
+    texts = ["", "a-B 9/.", "é1", "\x00a\x7f", "日本5", None, "x\ny"]
+    df = spark.createDataFrame([(t,) for t in texts], "c string").select("c", X.alphanumeric(F.col("c")).alias("x"))
+    assert all(r.x == (r.c and "".join(ch for ch in r.c if ch.isascii() and ch.isalnum())) for r in df.collect())
