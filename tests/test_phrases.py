@@ -2,6 +2,8 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from linesmith.operators import catalog as K
 from linesmith.operators import phrases as P
 from linesmith.operators import vectors as V
@@ -88,3 +90,18 @@ def test_vectors_are_thinned_out_before_they_move(spark):
     vectors = spark.range(1000).selectExpr("id AS desc_id", "id AS item_id", "array(CAST(id AS DOUBLE)) AS vec", "CAST(id AS STRING) AS description")
     plan = V.nearest_description(found, vectors, vectors, vectors)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LeftSemi") == 2 and plan.count("strategy=broadcast") == 2
+
+
+def test_long_texts_are_not_broadcast_by_their_number(spark, monkeypatch):
+    """Few ids of many bytes in all are shuffled: the driver would have to hold them."""
+    texts = ["a" * 2000, "b" * 2000]
+    found = spark.createDataFrame([(t, 1) for t in texts], "description string, item_id long")
+    descriptions = spark.createDataFrame([(5, 1, "d")], "desc_id long, item_id long, description string")
+    vectors = spark.createDataFrame([(t, [1.0, float(i)]) for i, t in enumerate(texts)], "description string, vec array<double>")
+    items = spark.createDataFrame([(5, [1.0, 0.0])], "desc_id long, vec array<double>")
+    sent, real = [], F.broadcast
+    monkeypatch.setattr(V.F, "broadcast", lambda df: sent.append(df.columns) or real(df))
+    monkeypatch.setattr(V, "BROADCAST_BYTES", 1000)
+    got = V.nearest_description(found, descriptions, vectors, items).collect()
+    assert {(r.description, r.desc_id, round(r.similarity, 6)) for r in got} == {(texts[0], 5, 1.0), (texts[1], 5, round(0.5**0.5, 6))}
+    assert ["item_id"] in sent and ["description"] not in sent
